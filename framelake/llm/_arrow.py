@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 #: Bytes of words that white space (space, tab to carriage return) parts.
 NOT_SPACE = np.ones(256, bool)
@@ -55,11 +55,16 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             ones[0] = 1
             pair.append(np.cumprod(ones))
         have = (pair[0], pair[1])
-        if size <= 8 * SLICE_BYTES:
+        if size <= (4 << 20):
             _powers[base] = have
     return have
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of byte spans, and of its inverse, up to n."""
+    return _power(_BASE, n)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and len + 1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
