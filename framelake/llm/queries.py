@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontaminate, fingerprint, packing, substrings, token_counts
+from framelake.llm import decontaminate, fingerprint, jaccard, packing, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.against_next(table(spark, sf_dir, "documents"))
 
@@ -38,11 +42,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op6_substrings": op6_substrings,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_fingerprint": op8_fingerprint,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(g) AS a, md5_number_lower(g) AS b FROM (
+    SELECT doc_id, array_to_string(ws[i : i + least(len(ws), 5) - 1], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM w WHERE len(ws) > 0))
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS d, y.doc_id AS e, count(*) AS c FROM s x JOIN s y USING (a, b) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT d, e FROM p JOIN n nd ON nd.doc_id = d JOIN n ne ON ne.doc_id = e WHERE 100 * c >= 75 * (nd.n + ne.n - c)
+), r(d, e) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT r.d, l.e FROM r JOIN l ON l.d = r.e
+), k AS (
+  SELECT d AS doc_id, min(e) AS component_id FROM r GROUP BY d
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM w JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
     "op6_substrings": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
