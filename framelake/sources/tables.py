@@ -40,7 +40,7 @@ def get_sensor(name: str):
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, cells) in file order; a file is read by one task, as its lines are numbered."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
     return lines.select("path", "line_no", F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))).alias("cells"))
 
