@@ -6,8 +6,8 @@ and the maximum of each over the text (above 0) feeds a logistic output. As
 embedding and filters are linear, their products are tabulated by bucket once
 trained, so judging a word is a few additions of table rows.
 
-Training is by Adam over minibatches. It takes at most about ``MOST`` labelled rows of
-each label (chosen by a hash of doc_id), of those whose crc32(doc_id) mod 5
+Training is by Adam over minibatches. It takes at most ``MOST`` labelled rows of
+each label (the first by a hash of doc_id), of those whose crc32(doc_id) mod 5
 is not 0; labels, lang, source and doc_id are no inputs. A part of them is kept back to
 calibrate thresholds: one for each language, as identified from the text
 itself, at the best F1, and the common one where a language has too few toxic rows. The
@@ -18,7 +18,7 @@ Defined results: null and empty texts and those without words get the score of a
 text. Each row is judged by its text alone, so repeated rows get equal
 results. Rows of ``labels`` without a document, or with a null, are not
 learned from; a document labelled several times is learned from as often.
-Where there is nothing to learn from every score is 0. Columns other than doc_id and text are left out.
+Where there is nothing to learn from every score is next to 0. Columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -184,12 +184,13 @@ def best_threshold(raw: np.ndarray, y: np.ndarray) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """Fit, and calibrate thresholds, on a bounded sample of rows that aren't held out."""
-    known = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL").where(~langid.held_out()).join(labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("_labelled"), F.col("toxic").cast("int").alias("toxic")), F.col("doc_id") == F.col("_labelled")).drop("_labelled")
-    counts = {r.toxic: r.n for r in labels.where("toxic IS NOT NULL").where(~langid.held_out()).groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~langid.held_out()).select(F.col("doc_id").cast("long").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    # of each label those first by hash: at most 2 * most rows, which are broadcast, so texts stay where they are
+    sample = [tuple(r) for v in (0, 1) for r in marked.where(F.col("toxic") == v).orderBy(F.xxhash64("labelled", F.lit(3)), "labelled").limit(most).collect()]
+    if not sample:
         return Model(np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, _STEPS * FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS + 1, -60, np.float32))
-    share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, most / n))])
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30) < share[F.col("toxic")]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(sample, "labelled long, toxic int"))
+    known = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("labelled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("toxic"), pa.array([ids[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in langid.features(data, offsets)], pa.binary())], ["doc_id", "toxic", "ids", "x"])
 
-    rows = known.where(part).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, ids binary, x binary").toArrow()
+    rows = known.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, ids binary, x binary").toArrow()
     # the order must not depend on tasks
     order = sorted(range(rows.num_rows), key=lambda i, a=rows.column("doc_id").to_pylist(), b=rows.column("ids").to_pylist(): (a[i], b[i][:64]))
     ids, x = rows.column("ids").to_pylist(), rows.column("x").to_pylist()
