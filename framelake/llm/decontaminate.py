@@ -162,8 +162,9 @@ def _hits(batches: Iterator[pa.RecordBatch], index: dict[int, Grams]) -> Iterato
         for lo, _, data, offsets in slices(*utf8(batch.column("text"))):
             w, hit, items = scan(data, offsets, index)
             rows = sorted(items)
+            take = pa.array([lo + i for i in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids.take([lo + i for i in rows]).cast(pa.int64()), keys.take([lo + i for i in rows]), pa.array([np.flatnonzero(hit[w.first[i] : w.first[i + 1]]).tolist() for i in rows], pa.list_(pa.int32())), pa.array([sorted(items[i]) for i in rows], pa.list_(pa.string()))],
+                [ids.take(take).cast(pa.int64()), keys.take(take), pa.array([np.flatnonzero(hit[w.first[i] : w.first[i + 1]]).tolist() for i in rows], pa.list_(pa.int32())), pa.array([sorted(items[i]) for i in rows], pa.list_(pa.string()))],
                 ["doc_id", "text_key", "hit", "items"],
             )
 
