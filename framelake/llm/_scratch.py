@@ -15,6 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
+
 def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
@@ -34,7 +38,12 @@ class Scratch:
         """Write a table, let go of the shuffle files behind it, and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        held = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(min(int(held), BATCH_ROWS)))  # texts are long
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, held)
         del df
         self.spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are garbage
         return Table(self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path), self, path)
