@@ -42,6 +42,14 @@ def grid(frames: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def channel_grid(frames: np.ndarray, size: int) -> np.ndarray:
+    """Frames (n, h, w[, c]) to floor(sqrt(size)) squared numbers a channel, over 255."""
+    frames = frames[..., None] if frames.ndim == 3 else frames
+    side = max(1, int(size**0.5))
+    planes = [resize(np.clip(frames[..., c], 0, 255).astype(np.uint8), side, side) for c in range(frames.shape[3])]
+    return (np.stack(planes, axis=3).reshape(len(frames), -1) / np.float32(255)).astype(np.float32)
+
+
 def grid_features(frames: DataFrame, size: int) -> DataFrame:
     """``frames`` (with payload, shape and dtype of a frame) with ``features``."""
 

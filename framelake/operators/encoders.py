@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import vectors
-from framelake.functions.images import grid_features
+from framelake.functions.images import channel_grid, grid_features
 from framelake.operators import linalg
 
 # Sensors with an encoder, their modality and embedding size: fixed values.
 SENSORS = {"GelSight": ("imaging", 256), "DIGIT": ("imaging", 256), "CoroCapacitive": ("dynamic", 128), "BioTac": ("dynamic", 128), "TacTip": ("dynamic", 128)}
 DEFAULT = ("dynamic", 128)
 IMAGING = frozenset({"GelSight", "GelSight_Mini", "GelSight_Wedge", "DIGIT", "DIGIT_v2"})
+IMAGES = frozenset({"imaging"})
 #: Records whose folds are refitted one by one, at most.
 MOST_FOLDS = 2000
 
@@ -130,6 +131,20 @@ class Encoder:
         return cls(sensor_type, np.array(row.mean), np.array(row.w).reshape(len(row.mean), -1), json.loads(row.report))
 
 
+def shared_force(frames: DataFrame, modality: str, size: int = 128) -> DataFrame:
+    """``frames`` with an untrained ``embedding``: dynamic frames padded or cut off to
+    ``size``, images as a grid of floor(sqrt(size)) squared cells a channel."""
+    if modality not in IMAGES:
+        return frames.withColumn("embedding", vectors.pad_to(F.col("values"), size).cast("array<float>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [channel_grid(np.frombuffer(p.as_buffer(), np.dtype(d)).reshape(1, *s), size)[0] for p, s, d in zip(batch.column("payload"), batch.column("shape").to_pylist(), batch.column("dtype").to_pylist(), strict=True)]
+            yield batch.append_column("embedding", pa.array(cells, pa.list_(pa.float32())))
+
+    return frames.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", embedding array<float>")
+
+
 class SurrogateEncoder(Encoder):
     def fit(self, frames: DataFrame, label: str = "label", record: str = "recording_id") -> Encoder:
         raise NotImplementedError(f"no encoder for {self.sensor_type}: a surrogate can't be fitted")
