@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from framelake.functions import vectors
 
-#: Centroids (classes) that may be broadcast; beyond it they are joined in blocks by shuffle.
+#: Classes that may be compared with every row, at most.
 MOST_BROADCAST = 10_000
 
 
@@ -16,20 +22,42 @@ def centroids(rows: DataFrame, vector: str = "embedding", label: str = "label")
     return vectors.mean_vectors(rows.select(label, vectors.unit(F.col(vector)).alias("_u")), "_u", label)
 
 
+def _few(rows: DataFrame, label: str) -> list:
+    """All rows of a table of one row a class, whose number is checked."""
+    found = rows.limit(MOST_BROADCAST + 1).collect()
+    if len(found) > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} classes can't be compared with every row")
+    return sorted(found, key=lambda r: r[label])
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    x = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size == 0, 1, size)
+
+
 def nearest(rows: DataFrame, means: DataFrame, key: str, vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, predicted, similarity): of equally near classes the first.
 
-    Every row meets every class; the classes are few (their number is checked)
-    and broadcast as one array row, so rows are neither shuffled nor multiplied.
+    The classes are few (their number is checked), so their means go to every
+    task, which compares a batch of rows with all of them in one product: rows are
+    neither shuffled nor multiplied.
     """
-    if (n := means.count()) > MOST_BROADCAST:
-        raise ValueError(f"{n} classes: more than {MOST_BROADCAST} can't be compared with every row")
-    packed = means.select(F.struct(F.col(label), F.col("mean")).alias("c")).groupBy().agg(F.array_sort(F.collect_list("c")).alias("classes"))
-    unit = vectors.unit(F.col(vector))
-    scored = F.transform("classes", lambda c: F.struct((vectors.dot(F.col("_u"), c["mean"]) / (vectors.norm(c["mean"]) + 1e-12)).alias("similarity"), c[label].alias("predicted")))
-    best = F.aggregate(F.col("_s"), F.element_at("_s", 1), lambda b, c: F.when(c["similarity"] > b["similarity"], c).otherwise(b))
-    out = rows.select(key, unit.alias("_u")).crossJoin(F.broadcast(packed)).withColumn("_s", scored).select(key, best.alias("b"))
-    return out.select(key, F.col("b.predicted").alias("predicted"), F.col("b.similarity").alias("similarity"))
+    found = _few(means, label)
+    names = pa.array([r[label] for r in found])
+    m = np.array([r["mean"] for r in found])
+    m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12) if len(found) else m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(m):
+                near = _units(batch.column("v")) @ m.T
+                best = near.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("k"), names.take(pa.array(best)), pa.array(near[np.arange(len(best)), best])], ["k", "predicted", "similarity"])
+
+    kinds = rows.select(F.col(key).alias("k")).dtypes[0][1], means.select(label).dtypes[0][1]
+    names = names.cast(to_arrow_schema(means.select(label).schema).field(0).type)
+    return rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInArrow(run, f"k {kinds[0]}, predicted {kinds[1]}, similarity double").withColumnRenamed("k", key)
 
 
 def leave_one_out(rows: DataFrame, key: str, vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -37,21 +65,30 @@ def leave_one_out(rows: DataFrame, key: str, vector: str = "embedding", label: s
 
     Sums are additive: a row's own class loses the row's share, others stay.
     """
-    unit = rows.select(key, label, vectors.unit(F.col(vector)).alias("_u"))
+    unit = rows.select(label, vectors.unit(F.col(vector)).alias("_u"))
     sums = vectors.long_form(unit, "_u", label).groupBy(label, "dim").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
     sums = sums.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("total"), F.max("n").alias("n"))
-    if (n := sums.count()) > MOST_BROADCAST:
-        raise ValueError(f"{n} classes: more than {MOST_BROADCAST} can't be compared with every row")
-    packed = sums.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(label), "total", "n"))).alias("classes"))
-
-    def one(c):
-        own = c[label] == F.col(label)
-        n = c["n"] - F.when(own, F.lit(1)).otherwise(F.lit(0))
-        mean = F.when(own, F.transform(F.zip_with(c["total"], F.col("_u"), lambda t, u: t - u), lambda x: x / n)).otherwise(F.transform(c["total"], lambda x: x / n))
-        return F.struct(F.when(n > 0, vectors.dot(F.col("_u"), mean) / (vectors.norm(mean) + 1e-12)).otherwise(F.lit(float("-inf"))).alias("similarity"), c[label].alias("predicted"))
-
-    best = F.aggregate(F.col("_s"), F.element_at("_s", 1), lambda b, c: F.when(c["similarity"] > b["similarity"], c).otherwise(b))
-    return unit.crossJoin(F.broadcast(packed)).withColumn("_s", F.transform("classes", one)).select(key, label, best["predicted"].alias("predicted"))
+    found = _few(sums, label)
+    kind = to_arrow_schema(rows.select(label).schema).field(0).type
+    names, n = pa.array([r[label] for r in found]).cast(kind), np.array([r["n"] for r in found], float)
+    total = np.array([r["total"] for r in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit_means = total / (np.linalg.norm(total, axis=1, keepdims=True) + 1e-12 * n[:, None])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = _units(batch.column("v"))
+            own = np.asarray(pc.index_in(batch.column("l"), names))
+            near, line = u @ unit_means.T, np.arange(len(u))
+            rest, many = total[own] - u, n[own] - 1
+            mean = rest / np.maximum(many, 1)[:, None]
+            near[line, own] = np.where(many > 0, (u * mean).sum(axis=1) / (np.linalg.norm(mean, axis=1) + 1e-12), -np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), names.take(pa.array(near.argmax(axis=1)))], ["k", "l", "predicted"])
+
+    kinds = dict(rows.select(F.col(key).alias("k"), F.col(label).alias("l")).dtypes)
+    ready = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND l IS NOT NULL")
+    return ready.mapInArrow(run, f"k {kinds['k']}, l {kinds['l']}, predicted {kinds['l']}").withColumnRenamed("k", key).withColumnRenamed("l", label)
 
 
 def accuracy(predictions: DataFrame, label: str = "label") -> DataFrame:
