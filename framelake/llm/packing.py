@@ -22,6 +22,7 @@ doc_id and text are left out.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +43,9 @@ END = 1
 GAP = 2e-4
 _MOST_WORDS = 400_000
 
+#: Words of ASCII and Latin-1 letters, in UTF-8.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _STOPS = np.zeros(256, bool)
@@ -61,6 +65,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, np.ndarray] = {}
 
     def of(self, parts: list[bytes]) -> list[np.ndarray]:
@@ -70,7 +77,18 @@ class WordIds:
             if len(known) > _MOST_WORDS:
                 known.clear()
                 new = parts
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+            # words of letters alone are one piece each, so one text of them all can be told apart by word ends
+            plain = [p for p in new if _LETTERS(p)]
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("a word of letters isn't one piece")
+            at = 0
+            for p, end in zip(plain, ends.tolist(), strict=True):
+                known[p] = ids[at:end]
+                at = end
+            rest = [p for p in new if not _LETTERS(p)]
+            for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, np.uint32)
         return [known[p] for p in parts]
 
