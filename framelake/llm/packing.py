@@ -41,7 +41,7 @@ CAPACITY = 2048
 UNITS = 256
 END = 1
 GAP = 2e-4
-_MOST_WORDS = 400_000
+_MOST_WORDS = 600_000
 
 #: Words of ASCII and Latin-1 letters, in UTF-8.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
@@ -68,9 +68,9 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def of(self, parts: list[bytes]) -> list[np.ndarray]:
+    def of(self, parts: list[bytes]) -> list[bytes]:
         known = self.known
         new = [p for p in parts if p not in known]
         if new:
@@ -80,16 +80,16 @@ class WordIds:
             # words of letters alone are one piece each, so one text of them all can be told apart by word ends
             plain = [p for p in new if _LETTERS(p)]
             ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) != len(plain):
                 raise ValueError("a word of letters isn't one piece")
-            at = 0
+            raw, at = ids.tobytes(), 0
             for p, end in zip(plain, ends.tolist(), strict=True):
-                known[p] = ids[at:end]
+                known[p] = raw[at:end]
                 at = end
             rest = [p for p in new if not _LETTERS(p)]
             for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint32)
+                known[p] = np.array(e.ids, np.uint32).tobytes()
         return [known[p] for p in parts]
 
     def rows(self, data: np.ndarray, offsets: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +103,8 @@ class WordIds:
             _, where, inverse = np.unique(span_hashes(data, start, ends), return_index=True, return_inverse=True)
             raw = data.tobytes()
             ids = self.of([raw[a:b] for a, b in zip(start[where].tolist(), ends[where].tolist(), strict=True)])
-            size = np.array([len(x) for x in ids])
-            flat, at = np.concatenate(ids), np.concatenate(([0], np.cumsum(size)))[:-1]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, at = np.frombuffer(b"".join(ids), np.uint32), np.concatenate(([0], np.cumsum(size)))[:-1]
             each = size[inverse]
             to = np.cumsum(each)
             tokens = flat[np.arange(int(to[-1])) + np.repeat(at[inverse] - (to - each), each)]
