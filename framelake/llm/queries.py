@@ -32,8 +32,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

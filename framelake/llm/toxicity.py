@@ -8,9 +8,11 @@ trained, so judging a word is a few additions of table rows.
 
 Training is by Adam over minibatches. It takes at most ``MOST`` labelled rows of
 each label (the first by a hash of doc_id), of those whose crc32(doc_id) mod 5
-is not 0; labels, lang, source and doc_id are no inputs. A part of them is kept back to
-calibrate thresholds: one for each language, as identified from the text
-itself, at the best F1, and the common one where a language has too few toxic rows. The
+is not 0; labels, lang, source and doc_id are no inputs. Thresholds are calibrated on
+all labelled rows that aren't held out, at their own mix of labels: one for each language, as identified from the text
+itself, at the best F1, and the common one where a language has fewer than ``FEWEST`` rows of a label. Rows that
+were fitted count with the output of one of ``FOLDS`` models that did not see them. Outputs are
+counted in bins of 1 / ``BINS``, and thresholds lie between bins. The
 score is the logistic of the output less that threshold, so 0.5 is the
 threshold of each language.
 
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import langid
 from framelake.llm._arrow import LOWER, WORD_CHARS, Words, mix, slices, span_hashes, utf8, words
+from framelake.llm._scratch import Scratch
 
 MOST = 2000
 BUCKETS = 1 << 15
@@ -41,6 +44,10 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 PARTS = 4
 ROUNDS = 6
+FOLDS = 5
+FEWEST = 20
+BINS = 64
+_MOST_RAW = 256
 _STEPS = sum(WIDTHS)
 
 
@@ -170,11 +177,11 @@ def train(texts: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, seed: in
     return Model(**p)
 
 
-def best_threshold(raw: np.ndarray, y: np.ndarray) -> float:
-    """Between the two outputs where F1 is best."""
+def best_threshold(raw: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
+    """Between the two outputs where F1 is best; y of the n rows (1 unless given) with an output are toxic."""
     order = np.argsort(-raw, kind="stable")
     hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = 2 * hit / (np.cumsum(np.ones(len(y)) if n is None else n[order]) + y.sum())
     # of equally good places the middle one
     good = np.flatnonzero(f1 >= f1.max() - 1e-12)
     k = int(good[len(good) // 2])
@@ -182,13 +189,27 @@ def best_threshold(raw: np.ndarray, y: np.ndarray) -> float:
     return float((raw[order[k]] + low) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
-    """Fit, and calibrate thresholds, on a bounded sample of rows that aren't held out."""
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~langid.held_out()).select(F.col("doc_id").cast("long").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+@dataclass
+class Fit:
+    """A model without thresholds, the documents it was fitted to, and for each the model that did not see it."""
+
+    model: Model
+    ids: np.ndarray
+    fold: np.ndarray
+    folds: list[Model]
+
+
+def _marked(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~langid.held_out()).select(F.col("doc_id").cast("long").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Fit | None:
+    """Fit on a bounded sample of rows that aren't held out; None where there are none."""
+    marked = _marked(labels)
     # of each label those first by hash: at most 2 * most rows, which are broadcast, so texts stay where they are
     sample = [tuple(r) for v in (0, 1) for r in marked.where(F.col("toxic") == v).orderBy(F.xxhash64("labelled", F.lit(3)), "labelled").limit(most).collect()]
     if not sample:
-        return Model(np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, _STEPS * FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS + 1, -60, np.float32))
+        return None
     chosen = F.broadcast(docs.sparkSession.createDataFrame(sample, "labelled long, toxic int"))
     known = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("labelled"))
 
@@ -199,28 +220,95 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
                 w = words(low, offsets, WORD_CHARS)
                 ids = parts(low, w)
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("toxic"), pa.array([ids[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary()), pa.array([x.astype(np.float16).tobytes() for x in langid.features(data, offsets)], pa.binary())], ["doc_id", "toxic", "ids", "x"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("toxic"), pa.array([ids[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "ids"])
 
-    rows = known.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, ids binary, x binary").toArrow()
+    rows = known.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, ids binary").toArrow()
+    if not rows.num_rows:
+        return None
     # the order must not depend on tasks
-    order = sorted(range(rows.num_rows), key=lambda i, a=rows.column("doc_id").to_pylist(), b=rows.column("ids").to_pylist(): (a[i], b[i][:64]))
-    ids, x = rows.column("ids").to_pylist(), rows.column("x").to_pylist()
+    ids = rows.column("ids").to_pylist()
+    order = sorted(range(rows.num_rows), key=lambda i, a=rows.column("doc_id").to_pylist(), b=rows.column("toxic").to_pylist(): (a[i], b[i], ids[i]))
     texts = [np.frombuffer(ids[i], np.int32).reshape(-1, PARTS) for i in order]
-    y = (np.array(rows.column("toxic").to_pylist(), np.float64)[order] > 0).astype(np.float32)
-    # of each five rows one is for the thresholds
-    back = np.arange(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
-    model = train([t for t, b in zip(texts, back, strict=True) if not b], y[~back])
+    doc = rows.column("doc_id").to_numpy()[order]
+    y = (rows.column("toxic").to_numpy()[order] > 0).astype(np.float32)
+    model = train(texts, y)
     model.language = langid.learn(docs, 300)
-    use = np.flatnonzero(back) if back.any() else np.arange(len(y))
-    raw = np.array([model.logits(texts[i], np.array([0, len(texts[i])]))[0] for i in use])
-    if 0 < y[use].sum() < len(use):
-        model.threshold = best_threshold(raw, y[use])
-        lang, _ = model.language.predict(np.array([np.frombuffer(x[order[i]], np.float16) for i in use]).astype(np.float32))
-        for name in sorted(set(lang.tolist())):
-            own = lang == name
-            if y[use][own].sum() >= 20 and (1 - y[use][own]).sum() >= 20:
-                model.thresholds[name] = best_threshold(raw[own], y[use][own])
-    return model
+    # documents are dealt to folds label by label, so each model sees both labels
+    own, first = np.unique(doc, return_index=True)
+    if min(y[first].sum(), (1 - y[first]).sum()) < 2:
+        return Fit(model, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+    fold = np.empty(len(own), np.int64)
+    fold[np.argsort(y[first], kind="stable")] = np.arange(len(own)) % FOLDS
+    out = fold[np.searchsorted(own, doc)]
+    return Fit(model, own, fold, [train([t for t, b in zip(texts, out == k, strict=True) if not b], y[out != k]) for k in range(FOLDS)])
+
+
+def outputs(docs: DataFrame, found: Fit) -> DataFrame:
+    """(doc_id, held_out, lang, raw, fair) of every whole text: fair is the output of a model that did not see the document."""
+    held = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = held.value
+        for batch in batches:
+            for lo, hi, data, offsets in slices(*utf8(batch.column("text"))):
+                low = LOWER[data]
+                w = words(low, offsets, WORD_CHARS)
+                ids = parts(low, w)
+                raw = f.model.logits(ids, w.first).astype(np.float64)
+                lang, _ = langid.judge(data, offsets, f.model.language)
+                own = batch.slice(lo, hi - lo)
+                fair = raw.copy()
+                doc = own.column("doc_id").cast(pa.int64())
+                known = doc.is_valid().to_numpy(zero_copy_only=False)
+                name = doc.fill_null(0).to_numpy()
+                for r in np.flatnonzero(known & np.isin(name, f.ids)).tolist():
+                    a, b = w.first[r], w.first[r + 1]
+                    fair[r] = f.folds[f.fold[np.searchsorted(f.ids, name[r])]].logits(ids[a:b], np.array([0, b - a]))[0]
+                yield pa.RecordBatch.from_arrays([doc, own.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(raw), pa.array(fair)], ["doc_id", "held_out", "lang", "raw", "fair"])
+
+    return docs.select("doc_id", "text", langid.held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang string, raw double, fair double")
+
+
+def calibrate(model: Model, judged: DataFrame, labels: DataFrame) -> None:
+    """Set the thresholds by `outputs` of all labelled rows that aren't held out."""
+    marked = _marked(labels).groupBy("labelled").agg(F.sum("toxic").alias("y"), F.count(F.lit(1)).alias("n"))
+    place = F.floor(F.greatest(F.least("fair", F.lit(float(_MOST_RAW))), F.lit(-float(_MOST_RAW))) * BINS + 0.5).alias("place")
+    # at most 2 * _MOST_RAW * BINS + 1 rows of each language
+    rows = judged.where("NOT held_out").select("doc_id", "lang", place).join(marked, F.col("doc_id") == F.col("labelled")).groupBy("lang", "place").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas()
+    if not 0 < rows["y"].sum() < rows["n"].sum():
+        return
+    whole = rows.groupby("place", as_index=False)[["y", "n"]].sum()
+    model.threshold = best_threshold(whole["place"].to_numpy(float) / BINS, whole["y"].to_numpy(float), whole["n"].to_numpy(float))
+    for name, own in rows.groupby("lang"):
+        if own["y"].sum() >= FEWEST and own["n"].sum() - own["y"].sum() >= FEWEST:
+            model.thresholds[name] = best_threshold(own["place"].to_numpy(float) / BINS, own["y"].to_numpy(float), own["n"].to_numpy(float))
+
+
+def _blank() -> Model:
+    return Model(np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, _STEPS * FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS + 1, -60, np.float32))
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
+    """Fit on a bounded sample of rows that aren't held out, and calibrate thresholds on all of them."""
+    found = fit(docs, labels, most)
+    if found is None:
+        return _blank()
+    calibrate(found.model, outputs(docs, found), labels)
+    return found.model
+
+
+def assess(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
+    """`score` of ``docs`` by what is learned from them, with one look at each text for thresholds and scores."""
+    found = fit(docs, labels, most)
+    if found is None:
+        return score(docs, _blank())
+    judged = Scratch(docs.sparkSession).keep(outputs(docs, found)).df
+    calibrate(found.model, judged, labels)
+    cut = F.lit(found.model.threshold)
+    if found.model.thresholds:
+        cut = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(found.model.thresholds.items()) for x in pair])[F.col("lang")], cut)
+    value = 1 / (1 + F.exp(-F.greatest(F.least(F.col("raw") - cut, F.lit(60.0)), F.lit(-60.0))))
+    return judged.select("doc_id", "held_out", value.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

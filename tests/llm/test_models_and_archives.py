@@ -47,6 +47,25 @@ def test_toxicity_on_held_out_documents(spark):
     assert max(r.score for r in toxicity.score(odd, none).collect()) < 1e-6
 
 
+def test_toxicity_thresholds_at_the_mix_of_all_labels(spark):
+    """Toxic texts say vile (two in three) or murky; so many clean ones say murky that it tells nothing, save in a sample of equal parts."""
+    rng, rows = np.random.default_rng(0), []
+    words = {"en": ["the", "house", "with", "green", "garden", "and", "river"], "fr": ["une", "maison", "avec", "jardin", "dans", "riviere", "verte"]}
+    for i in range(3000):
+        lang, toxic = "fr" if i % 4 == 0 else "en", i % 20 < 2
+        mark = ("murky" if i // 20 % 3 == 0 else "vile") if toxic else "murky" if i // 20 % 5 == 0 else ""
+        rows.append((i, " ".join([*rng.choice(words[lang], 8), mark, *rng.choice(words[lang], 4)]), lang, int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs, labels = table.drop("toxic"), table.select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels, 150)
+    assert set(model.thresholds) == {"en", "fr"}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    told = {w: np.mean([got[i].predicted for i, t, *_ in rows if w in t]) for w in ("vile", "murky")}
+    assert told["vile"] > 0.95 and told["murky"] < 0.05
+    for r in toxicity.assess(docs, labels, 150).collect():
+        assert r.held_out == got[r.doc_id].held_out and r.predicted == got[r.doc_id].predicted and abs(r.score - got[r.doc_id].score) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(1, "http://a.org/", "x" * 50), (2, "http://b.org/\r\nfoo", "x" * 50), (3, None, None), (4, "u", ""), (4, "u", ""), (None, "n", "x" * 50), (7, "z", "é\r\n\r\nWARC/1.1\r\n" * 3), (5, "y", "long " * 300_000)]
