@@ -6,7 +6,8 @@ window of its own length) become a sorted hash set. A block of at most
 proven bound: a benchmark within it takes one scan of the corpus and no
 shuffle; a larger one takes a scan for each block, whose hits (rows of
 contaminated documents alone) are then merged by document. Every hit is
-verified against the words themselves.
+verified against the words themselves. `clean` carries the hits of the blocks
+beside each row, found on its unchanged text, and cuts once.
 
 Defined results: null or empty texts have no words and no hits; a null text
 stays null. Repeated rows give the same result each. A null item_id counts
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._arrow import LOWER, WORD_CHARS, Words, cut, replace_column, slices, span_hashes, utf8, window_hashes, window_starts, words
+from framelake.llm._scratch import Scratch
 
 N_WORDS = 10
 MAX_WINDOWS = 2_000_000
@@ -180,26 +182,63 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, max_windows:
     """``docs`` without the spans that occur in the benchmark.
 
     A document of whose words at least ``drop_share`` are hit goes as a whole;
-    n_chars, where there is such a column, is brought up to date. A benchmark
-    of several blocks is cut out block by block, each on what the last left.
+    n_chars, where there is such a column, is brought up to date. The hits of a
+    benchmark of several blocks are found block by block, each on the whole
+    texts, with a table in the shared folder between them, and cut at once.
     """
     sc, out = docs.sparkSession.sparkContext, docs
-    for index in _blocks(benchmark, n, max_windows):
-        out = out.mapInArrow(lambda it, b=sc.broadcast(index): _clean(it, b.value, drop_share), docs.schema)
-    return out
+    blocks = [sc.broadcast(x) for x in _blocks(benchmark, n, max_windows)]
+    marks = None
+    if len(blocks) > 1:
+        marks = "_hit"
+        while marks in docs.columns:
+            marks += "_"
+        out = docs.withColumn(marks, F.array().cast("array<int>"))
+        scratch, before = Scratch(docs.sparkSession), None
+        for b in blocks[:-1]:
+            after = scratch.keep(out.mapInArrow(lambda it, b=b, marks=marks: _mark(it, b.value, marks), out.schema))
+            if before is not None:
+                before.drop()
+            before, out = after, after.df
+    return out.mapInArrow(lambda it, b=blocks[-1]: _clean(it, b.value, drop_share, marks), docs.schema)
+
+
+def _with_marks(w: Words, hit: np.ndarray, marks: pa.Array) -> np.ndarray:
+    """``hit`` and the words of each row that ``marks`` names."""
+    size = marks.value_lengths().to_numpy(zero_copy_only=False)
+    hit[np.repeat(w.first[:-1], size) + marks.flatten().to_numpy()] = True
+    return hit
+
+
+def _mark(batches: Iterator[pa.RecordBatch], index: dict[int, Grams], marks: str) -> Iterator[pa.RecordBatch]:
+    """The rows as they are, with the words hit added to those in ``marks``."""
+    for batch in batches:
+        column, found = batch.column(marks), []
+        for lo, hi, data, offsets in slices(*utf8(batch.column("text"))):
+            w, hit, _ = scan(data, offsets, index)
+            hit = _with_marks(w, hit, column.slice(lo, hi - lo))
+            found += [np.flatnonzero(hit[x:y]).tolist() for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+        yield replace_column(batch, marks, pa.array(found, column.type))
 
 
-def _clean(batches: Iterator[pa.RecordBatch], index: dict[int, Grams], drop_share: float) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], index: dict[int, Grams], drop_share: float, marks: str | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
         changed: dict[int, str] = {}
         gone = np.zeros(batch.num_rows, bool)
-        for lo, _, data, offsets in slices(*utf8(column)):
+        for lo, hi, data, offsets in slices(*utf8(column)):
             w, hit, items = scan(data, offsets, index)
-            for i in items:
+            rows = list(items)
+            if marks is not None:
+                own = batch.column(marks).slice(lo, hi - lo)
+                hit = _with_marks(w, hit, own)
+                rows = sorted({*items, *np.flatnonzero(own.value_lengths().to_numpy(zero_copy_only=False)).tolist()})
+            for i in rows:
                 own = slice(w.first[i], w.first[i + 1])
                 gone[lo + i] = hit[own].mean() >= drop_share
                 changed[lo + i] = cut(data[offsets[i] : offsets[i + 1]].tobytes(), w.start[own] - offsets[i], hit[own]).decode()
+        if marks is not None:
+            batch = batch.drop_columns([marks])
         if changed:
             texts = column.to_pylist()
             for i, text in changed.items():

@@ -219,6 +219,25 @@ def test_decontamination(spark, docs, nothing, texts):
     assert decontaminate.report(nothing, bench).count() == 0
 
 
+def test_decontaminated_texts_do_not_depend_on_blocks(spark, docs, texts):
+    items = [(i, " ".join((texts[11 + i] or "").split()[3:18])) for i in range(9)] + [(i + 30, " ".join((texts[11 + i] or "").split()[8:25])) for i in range(9)] + [(20, "ONE Two"), (23, "É")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = distinct((r.doc_id, r.text, r.n_chars, r._hit) for r in decontaminate.clean(docs.withColumn("_hit", F.lit("kept")), bench).collect())
+    kept = {d: n - hit for d, n, hit, *_ in contamination(texts, items) if hit < n or not n}
+    for most in (20, 60):
+        got = decontaminate.clean(docs.withColumn("_hit", F.lit("kept")), bench, max_windows=most)
+        assert got.columns == [*docs.columns, "_hit"]
+        rows = got.collect()
+        assert distinct((r.doc_id, r.text, r.n_chars, r._hit) for r in rows) == want
+        assert {r.doc_id: len(ALNUM.findall(lower(r.text or ""))) for r in rows} == kept
+    line = [f"w{i}" for i in range(1, 31)]
+    doc = spark.createDataFrame([(1, " ".join(line))], "doc_id long, text string")
+    for k in range(6):  # whichever blocks the two items fall in
+        pair = spark.createDataFrame([(k, " ".join(line[:12])), (k + 50, " ".join(line[4:20]))], "item_id long, text string")
+        assert [r.text.split() for r in decontaminate.clean(doc, pair, max_windows=14).collect()] == [line[20:]]
+        assert decontaminate.clean(doc, pair, max_windows=14, drop_share=0.6).count() == 0
+
+
 # fingerprints ------------------------------------------------------------------------------------
 
 
