@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,16 +60,23 @@ def content_hash(files: DataFrame) -> DataFrame:
     return pairs.groupBy("recording_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p")), "\n"), 256).alias("file_hash"))
 
 
-def lineage(recordings: DataFrame, rounds: int = 20) -> DataFrame:
-    """(file_hash, ancestor, depth) along derived_from, up to ``rounds`` steps."""
+def lineage(recordings: DataFrame) -> DataFrame:
+    """(file_hash, ancestor, depth) along derived_from, however far; depth is the least number of steps.
+
+    Known paths are joined end to end, so reach doubles each round, until a round adds no pair; cycles end likewise.
+    """
+    sc = recordings.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(recordings.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="framelake-"))
     edges = recordings.select(F.col("provenance.file_hash").alias("file_hash"), F.col("provenance.derived_from").alias("ancestor")).where("file_hash <> '' AND ancestor IS NOT NULL").distinct()
-    out = now = edges.withColumn("depth", F.lit(1))
-    for depth in range(2, rounds + 1):
-        now = now.select("file_hash", F.col("ancestor").alias("via")).join(edges.select(F.col("file_hash").alias("via"), "ancestor"), "via").select("file_hash", "ancestor").withColumn("depth", F.lit(depth))
-        if not now.take(1):
-            break
-        out = out.unionByName(now)
-    return out.groupBy("file_hash", "ancestor").agg(F.min("depth").alias("depth"))
+    out = edges.withColumn("depth", F.lit(1)).checkpoint()
+    n, before = out.count(), 0
+    while n > before:
+        near, far = out.toDF("file_hash", "via", "d"), out.toDF("via", "ancestor", "e")
+        longer = near.join(far, "via").select("file_hash", "ancestor", (F.col("d") + F.col("e")).alias("depth"))
+        out = out.unionByName(longer).groupBy("file_hash", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
+        n, before = out.count(), n
+    return out
 
 
 def lag_window(key: str = "recording_id", index: str = "frame_idx"):

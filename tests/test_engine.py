@@ -189,3 +189,15 @@ def test_metrics(spark):
     assert (got[0].mean, got[0].std, got[0].contact, got[0].change) == (25.0, 25.0, 0.5, 0.0) and got[1].change == 15.0
     bins = {r.bin: r.n for r in metrics.histogram(spark.createDataFrame([(0.0,), (7.9,), (8.0,), (256.0,)], "x double"), F.col("x"), 0, 256, 32).collect()}
     assert bins == {0: 2, 1: 1, 31: 1}
+
+
+def test_lineage_of_any_depth_and_of_cycles(spark):
+    from framelake.operators import integrity
+
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(45)] + [("x", "y"), ("y", "z"), ("z", "x"), ("c0", "c3"), ("", "c0"), ("c45", None)]
+    rows = spark.createDataFrame([((a, b),) for a, b in edges], "provenance struct<file_hash: string, derived_from: string>")
+    got = {(r.file_hash, r.ancestor): r.depth for r in integrity.lineage(rows).collect()}
+    want = {(f"c{i}", f"c{j}"): j - i - (2 if i == 0 and j >= 3 else 0) for i in range(46) for j in range(i + 1, 46)}
+    want |= {(a, b): ("xyz".index(b) - "xyz".index(a) - 1) % 3 + 1 for a in "xyz" for b in "xyz"}
+    assert got == want
+    assert integrity.lineage(rows.limit(0)).count() == 0
