@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions.windows import locate
+
 LABELS = ("material", "material_category", "object_name", "object_category", "task")
 NUMBERS = ("speed_mm_s", "normal_force_N", "approach_angle_deg", "temperature_C", "humidity_pct")
 
@@ -35,10 +37,10 @@ def number_code(label: Column) -> Column:
 def dictionary(rows: DataFrame, label: str) -> DataFrame:
     """(label, class): 1-based classes of the distinct values in order; null is class 0.
 
-    The distinct values, one row each, are ranked by ranges.
+    The distinct values, one row each, are counted by ranges, so no task sees all of them.
     """
     values = rows.where(F.col(label).isNotNull()).select(label).distinct()
-    return values.withColumn("class", F.dense_rank().over(Window.orderBy(label)).cast("long"))
+    return locate(values.withColumn("_one", F.lit(1)), label, "_one").select(label, (F.col("first_index") + 1).alias("class"))
 
 
 def dictionary_encode(rows: DataFrame, label: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.vectors import let
+
 
 def mean_of(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
@@ -12,7 +14,7 @@ def mean_of(v: Column) -> Column:
 
 def std_of(v: Column) -> Column:
     """Population standard deviation, in two passes over the array."""
-    return F.sqrt(F.aggregate(F.transform(v, lambda x: (x - mean_of(v)) * (x - mean_of(v))), F.lit(0.0), lambda s, x: s + x) / F.size(v))
+    return let(mean_of(v), lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v)))
 
 
 def share_below(v: Column, limit: float) -> Column:
@@ -41,6 +43,21 @@ def histogram(frames: DataFrame, x: Column, low: float, high: float, bins: int,
     return frames.where((x >= low) & (x <= high)).groupBy(*by, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def channels(frames: DataFrame, channels: int, key: str = "recording_id", index: str = "frame_idx", values: str = "values") -> DataFrame:
+    """(key, channel, mean, std, temporal_std): of each channel over all pixels and frames, and the
+    mean over its pixels of their deviation over time. The channel is the last axis of a frame."""
+    pixels = frames.select(key, F.posexplode(values).alias("at", "x")).groupBy(key, "at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("x").alias("n"), F.stddev_pop("x").alias("d"))
+    mean = F.sum("s") / F.sum("n")
+    return pixels.groupBy(key, (F.col("at") % channels).cast("int").alias("channel")).agg(mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / F.sum("n") - mean * mean)).alias("std"), F.avg("d").alias("temporal_std"))
+
+
+def cell_summary(frames: DataFrame, height: int, width: int, rows: int, columns: int, most: int = 10, key: str = "recording_id", values: str = "values") -> DataFrame:
+    """(key, frame_idx, features): the first ``most`` cell means of each frame, then its mean and deviation."""
+    own = cells(frames, height, width, rows, columns, key, values).where(F.col("cell") < most).groupBy(key, "frame_idx").agg(F.array_sort(F.collect_list(F.struct("cell", "mean"))).alias("c"))
+    whole = frames.select(key, "frame_idx", mean_of(F.col(values)).alias("mu"), std_of(F.col(values)).alias("sigma"))
+    return whole.join(own, [key, "frame_idx"]).select(key, "frame_idx", F.concat(F.transform("c", lambda e: e["mean"]), F.array("mu", "sigma")).alias("features"))
+
+
 def cells(frames: DataFrame, height: int, width: int, rows: int, columns: int, key: str = "recording_id", values: str = "values") -> DataFrame:
     """Means of a grid of cells of each frame; pixels beyond whole cells don't count."""
     h, w = max(1, height // rows), max(1, width // columns)

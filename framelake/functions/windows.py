@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.stages import fixed
+
 
 def checked(size: int, stride: int | None) -> tuple[int, int]:
     stride = size if stride is None else stride
@@ -60,11 +62,12 @@ def segments(frames: DataFrame, n: Column, k: int, index: str = "frame_idx") ->
 def locate(counts: DataFrame, order: str, count: str = "n_windows") -> DataFrame:
     """First global index of each source's windows: running sums over one row for each source.
 
-    Sums are by ``order`` ranges first, so no task sees all sources.
+    Sources are dealt by ranges of ``order``, once and for all (another exchange would draw
+    other bounds), and summed by range first, so no task sees all sources.
     """
     n = counts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    parts = counts.repartitionByRange(int(n), order).withColumn("_part", F.spark_partition_id())
-    whole = parts.groupBy("_part").agg(F.sum(count).alias("_n"))
+    parts = fixed(counts.repartitionByRange(int(n), order).withColumn("_part", F.spark_partition_id()))
+    whole = parts.groupBy("_part").agg(F.sum(count).alias("_n"))  # a row for each range
     before = whole.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.coalesce(F.sum(count).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return parts.withColumn("_inside", inside).join(before, "_part").withColumn("first_index", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.stages import fixed
 from framelake.schema import ChecksumError
 
 
@@ -54,6 +54,20 @@ def verified(frames: DataFrame, recordings: DataFrame) -> None:
         raise ChecksumError(f"checksum mismatch: {bad[0].recording_id}")
 
 
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files, whole; contents are hashed where they are read."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def verify_file(spark: SparkSession, path: str, sha256: str) -> None:
+    """Raises ChecksumError unless the file's SHA-256 is the given one, in any case of letters."""
+    found = file_checksums(spark, path).take(2)
+    if len(found) != 1:
+        raise FileNotFoundError(path)
+    if found[0].sha256 != sha256.strip().lower():
+        raise ChecksumError(f"{path}: expected {sha256}, found {found[0].sha256}")
+
+
 def content_hash(files: DataFrame) -> DataFrame:
     """(recording_id, file_hash) of (recording_id, name, content): hash of sorted names and their hashes."""
     pairs = files.select("recording_id", F.concat_ws(":", "name", F.sha2("content", 256)).alias("p"))
@@ -65,16 +79,14 @@ def lineage(recordings: DataFrame) -> DataFrame:
 
     Known paths are joined end to end, so reach doubles each round, until a round adds no pair; cycles end likewise.
     """
-    sc = recordings.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(recordings.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="framelake-"))
     edges = recordings.select(F.col("provenance.file_hash").alias("file_hash"), F.col("provenance.derived_from").alias("ancestor")).where("file_hash <> '' AND ancestor IS NOT NULL").distinct()
-    out = edges.withColumn("depth", F.lit(1)).checkpoint()
+    out = edges.withColumn("depth", F.lit(1))
+    out = fixed(out)
     n, before = out.count(), 0
     while n > before:
         near, far = out.toDF("file_hash", "via", "d"), out.toDF("via", "ancestor", "e")
         longer = near.join(far, "via").select("file_hash", "ancestor", (F.col("d") + F.col("e")).alias("depth"))
-        out = out.unionByName(longer).groupBy("file_hash", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
+        out = fixed(out.unionByName(longer).groupBy("file_hash", "ancestor").agg(F.min("depth").alias("depth")))
         n, before = out.count(), n
     return out
 
