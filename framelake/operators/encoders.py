@@ -20,8 +20,9 @@ SENSORS = {"GelSight": ("imaging", 256), "DIGIT": ("imaging", 256), "CoroCapacit
 DEFAULT = ("dynamic", 128)
 IMAGING = frozenset({"GelSight", "GelSight_Mini", "GelSight_Wedge", "DIGIT", "DIGIT_v2"})
 IMAGES = frozenset({"imaging"})
-#: Records whose folds are refitted one by one, at most.
-MOST_FOLDS = 2000
+#: Records that are left out in turn in one scan of all frames, at most, and the numbers that may take.
+FOLDS = 32
+FOLD_NUMBERS = 1 << 23
 
 _registry: dict[str, type] = {}
 
@@ -80,16 +81,17 @@ class Encoder:
             return grid_features(frames, self.size)
         return frames.withColumn("features", vectors.pad_to(F.col("values"), self.size))
 
-    def fit(self, frames: DataFrame, label: str = "label", record: str = "recording_id") -> Encoder:
+    def fit(self, frames: DataFrame, label: str = "label", record: str = "recording_id", evaluate: bool = True) -> Encoder:
+        """Whitened and class-aligned; ``evaluate`` also scores it without each record in turn, which
+        takes scans of all frames for every ``FOLDS`` records."""
         rows = self.features(frames).select(F.col(record).alias("record"), F.coalesce(F.col(label).cast("string"), F.lit("unknown")).alias("label"), "features").cache()
         m = linalg.moments(rows, "features")
-        labels, means, counts = linalg.class_means(rows, "features", "label")
-        whiten = linalg.whitening(m)
-        self.mean, self.w = m.mean, whiten @ linalg.class_rotation((means - m.mean) @ whiten, counts)
-        if len(labels) < 2:
+        classes, scatter = linalg.class_scatter(rows, "features", "label", m)
+        self.mean, self.w = m.mean, aligned(m, classes, scatter)
+        if classes < 2:
             before, after = linalg.decorrelation(m.r), linalg.decorrelation(m.r @ self.w)
             self.report = {"metric": "whitening_decorrelation", "score": round(after, 4), "before": round(before, 4)}
-        else:
+        elif evaluate:
             self.report = {"metric": "nearest_centroid_accuracy", "score": leave_one_record_out(rows)}
         rows.unpersist()
         return self
@@ -146,48 +148,111 @@ def shared_force(frames: DataFrame, modality: str, size: int = 128) -> DataFrame
 
 
 class SurrogateEncoder(Encoder):
-    def fit(self, frames: DataFrame, label: str = "label", record: str = "recording_id") -> Encoder:
+    def fit(self, frames: DataFrame, label: str = "label", record: str = "recording_id", evaluate: bool = True) -> Encoder:
         raise NotImplementedError(f"no encoder for {self.sensor_type}: a surrogate can't be fitted")
 
 
+def aligned(m: linalg.Moments, classes: int, scatter: np.ndarray) -> np.ndarray:
+    """Whitening and then rotation to the directions between class means."""
+    whiten = linalg.whitening(m)
+    return whiten @ linalg.class_rotation(classes, whiten.T @ scatter @ whiten)
+
+
+def _project(x: np.ndarray, mean: np.ndarray, w: np.ndarray) -> np.ndarray:
+    y = (x - mean) @ w
+    size = np.linalg.norm(y, axis=1, keepdims=True)
+    return y / np.where(size == 0, 1, size)
+
+
+def _fold_means(rows: DataFrame, folds: dict[str, tuple[np.ndarray, np.ndarray]], classes: list[str]) -> dict[str, np.ndarray]:
+    """Of each fold the mean of the projected frames of each class, its own record left out; sums are made where frames are."""
+    size = len(next(iter(folds.values()))[0])
+    held = rows.sparkSession.sparkContext.broadcast((list(folds.items()), {c: i for i, c in enumerate(classes)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, at = held.value
+        total, n = np.zeros((len(items), len(at), size)), np.zeros((len(items), len(at)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, record = vectors.matrix(batch.column("features")), np.array(batch.column("record").to_pylist(), object)
+            own = np.array([at[c] for c in batch.column("label").to_pylist()])
+            for k, (name, (mean, w)) in enumerate(items):
+                keep = record != name
+                np.add.at(total[k], own[keep], _project(x[keep], mean, w))
+                n[k] += np.bincount(own[keep], minlength=len(at))
+        k, c = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(list(total[k, c]), pa.list_(pa.float64())), pa.array(n[k, c])], ["fold", "class", "total", "n"])
+
+    parts = rows.mapInArrow(run, "fold int, class int, total array<double>, n double").select("fold", "class", F.posexplode("total").alias("dim", "x"), "n")
+    out = np.zeros((len(folds), len(classes), size))
+    for r in parts.groupBy("fold", "class", "dim").agg((F.sum("x") / F.sum("n")).alias("x")).toLocalIterator():
+        out[r["fold"], r["class"], r["dim"]] = r["x"]
+    return dict(zip(folds, out, strict=True))
+
+
 def leave_one_record_out(rows: DataFrame) -> float:
     """Share of frames whose class is nearest by a projection and centroids fitted without their record.
 
-    Folds run in parallel, one task each; a fold needs all frames, which are
-    collected once, so the number of records is bounded by ``MOST_FOLDS``.
+    ``rows`` has (record, label, features). ``FOLDS`` records are left out in turn at a time (fewer where
+    classes are many, ``FOLD_NUMBERS`` numbers at most). A record is taken out of the
+    factor of all frames in that factor's own orthonormal coordinates; centroids are sums
+    over one scan of all frames. What comes to the driver is bounded by records of a block, classes and D.
     """
-    records = [r.record for r in rows.select("record").distinct().limit(MOST_FOLDS + 1).collect()]
-    if len(records) > MOST_FOLDS:
-        raise ValueError(f"more than {MOST_FOLDS} records to leave out one by one")
-    spark = rows.sparkSession
-    parts = spark.sparkContext.broadcast([(r.record, r.label, np.array(r.x)) for r in rows.groupBy("record", "label").agg(F.collect_list("features").alias("x")).collect()])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = parts.value
-        for batch in batches:
-            for record in batch.column("record").to_pylist():
-                train = [d for d in data if d[0] != record]
-                test = [d for d in data if d[0] == record]
-                right = total = 0
-                if train:
-                    x = np.vstack([d[2] for d in train])
-                    y = np.repeat([d[1] for d in train], [len(d[2]) for d in train])
-                    m = linalg.Moments.of(linalg._factor(np.hstack((np.ones((len(x), 1)), x))), len(x))
-                    whiten = linalg.whitening(m)
-                    classes = sorted(set(y.tolist()))
-                    own = [x[y == c] for c in classes]
-                    w = whiten @ linalg.class_rotation((np.array([o.mean(axis=0) for o in own]) - m.mean) @ whiten, np.array([len(o) for o in own], float))
-                    unit = lambda v, mean=m.mean, w=w: (lambda z: z / np.where((s := np.linalg.norm(z, axis=1, keepdims=True)) == 0, 1, s))((v - mean) @ w)
-                    centre = np.array([unit(o).mean(axis=0) for o in own])
-                    centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-12
-                    for _, label, v in test:
-                        guess = (unit(v) @ centre.T).argmax(axis=1)
-                        right += sum(classes[g] == label for g in guess)
-                        total += len(v)
-                yield pa.RecordBatch.from_arrays([pa.array([right], pa.int64()), pa.array([total], pa.int64())], ["right", "total"])
-
-    folds = rows.select("record").distinct().mapInArrow(fold, "right long, total long").agg(F.sum("right"), F.sum("total")).first()
-    return round(folds[0] / max(1, folds[1]), 4)
+    found = vectors.sum_vectors(rows, "features", "label").collect()  # a row a class
+    classes, means, many = sorted(r.label for r in found), {r.label: np.array(r.total) for r in found}, {r.label: r.n for r in found}
+    whole = linalg.moments(rows, "features")
+    size = len(whole.mean)
+    factor = np.zeros((size + 1, size + 1))
+    factor[0, 0], factor[0, 1:], factor[1:, 1:] = np.sqrt(whole.n), whole.mean * np.sqrt(whole.n), whole.r
+    _, strength, axes = np.linalg.svd(factor)
+    live = strength > np.finfo(float).eps * len(factor) * strength.max()
+    strength, axes = strength[live], axes[live]
+    each = max(1, min(FOLDS, FOLD_NUMBERS // (size * max(size, len(classes)))))
+    blocks = -(-rows.select("record").distinct().count() // each)
+    block = F.pmod(F.xxhash64("record"), F.lit(blocks))
+    right = total = 0
+    for b in range(blocks):
+        own = rows.where(block == b)
+
+        def share(key, table):
+            q = np.hstack((np.ones((table.num_rows, 1)), vectors.matrix(table.column("features").combine_chunks()))) @ (axes.T / strength)
+            return pa.table({"record": [key[0].as_py()], "n": pa.array([table.num_rows], pa.int64()), "gram": pa.array([(q.T @ q).ravel()])})
+
+        # of a block as many records as hashing deals to it
+        parts = own.select("record", "features").groupBy("record").applyInArrow(share, "record string, n long, gram array<double>").collect()
+        counts = {(r.record, r.label): r.n for r in own.groupBy("record", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        total += sum(r.n for r in parts if r.n < whole.n)
+        sums = {(r.record, r.label): np.array(r.total) for r in vectors.sum_vectors(own, "features", "record", "label").collect()}
+        folds = {}
+        for part in parts:
+            if part.n == whole.n:
+                continue  # nothing is left to fit
+            w, v = np.linalg.eigh(np.eye(len(strength)) - np.array(part.gram).reshape(len(strength), -1))
+            rest = linalg.Moments.of(linalg._factor((np.sqrt(np.clip(w, 0, None)) * v).T * strength @ axes), whole.n - part.n)
+            left = {c: (means[c] - sums.get((part.record, c), 0), many[c] - counts.get((part.record, c), 0)) for c in classes}
+            centres = [(t / n - rest.mean, n) for t, n in left.values() if n]
+            scatter = sum(n * np.outer(c, c) for c, n in centres) / rest.n
+            folds[part.record] = (rest.mean, aligned(rest, len(centres), scatter))
+        if not folds:
+            continue
+        centre = _fold_means(rows, folds, classes)
+        names = np.array(classes, object)
+
+        def judge(batches: Iterator[pa.RecordBatch], folds=folds, centre=centre) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                record, label = np.array(batch.column("record").to_pylist(), object), np.array(batch.column("label").to_pylist(), object)
+                hit = 0
+                for name in set(record.tolist()) & set(folds):
+                    at = record == name
+                    c = centre[name]
+                    near = _project(vectors.matrix(batch.column("features"))[at], *folds[name]) @ (c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-12)).T
+                    near[:, ~c.any(axis=1)] = -np.inf  # classes of this record alone
+                    hit += int((names[near.argmax(axis=1)] == label[at]).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([hit], pa.int64())], ["hit"])
+
+        right += own.mapInArrow(judge, "hit long").agg(F.sum("hit")).first()[0] or 0
+    return round(right / max(1, total), 4)
 
 
 @dataclass
@@ -211,7 +276,7 @@ class CrossModalEncoder:
         centres: dict[str, tuple[list, np.ndarray]] = {}
         moments = {}
         for name, rows in sides.items():
-            pooled[name] = vectors.mean_vectors(rows.select(record, label, vector), vector, record, label).cache()
+            pooled[name] = vectors.mean_vectors(rows.select(record, label, vector), vector, record, label).drop("n").cache()
             try:
                 moments[name] = linalg.moments(pooled[name], "mean")
             except ValueError:
@@ -229,6 +294,22 @@ class CrossModalEncoder:
             p.unpersist()
         return self
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        if not self.fitted:
+            raise ValueError("nothing is fitted yet")
+        rows = [(self.size, m, self.mean[m].tolist(), self.w[m].ravel().tolist(), self.classes, None if self.correlations is None else self.correlations.tolist(), self.n_records) for m in sorted(self.w)]
+        schema = "size int, modality string, mean array<double>, w array<double>, classes array<string>, correlations array<double>, n_records long"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CrossModalEncoder:
+        rows = spark.read.parquet(path).collect()  # a row a modality
+        if not rows:
+            raise ValueError(f"no weights at {path}")
+        w = {r.modality: np.array(r.w).reshape(len(r.mean), -1) for r in rows}
+        correlations = None if rows[0].correlations is None else np.array(rows[0].correlations)
+        return cls(rows[0].size, {r.modality: np.array(r.mean) for r in rows}, w, list(rows[0].classes), correlations, rows[0].n_records)
+
     def encode(self, rows: DataFrame, modality: str, vector: str = "features") -> DataFrame:
         if not self.fitted:
             raise ValueError("not fitted")

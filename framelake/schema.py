@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 MODALITIES = ("imaging", "dynamic", "force", "multimodal")
 
@@ -20,6 +21,10 @@ RECORDINGS = (
 )
 FRAMES = "recording_id string, frame_idx bigint, ts_s double, payload binary, shape array<bigint>, dtype string"
 
+def recording_fields() -> list[StructField]:
+    """The columns of a table of recordings; needs a session, as DDL is parsed there."""
+    return StructType.fromDDL(RECORDINGS).fields
+
 
 class ChecksumError(ValueError):
     """Stored and computed checksums differ."""
