@@ -45,9 +45,52 @@ def shape_text(shape: Column) -> Column:
 
 
 def cache_sizes(spark: SparkSession, root: str) -> DataFrame:
-    """(dataset, files, bytes) of the folders below a cache; contents aren't read."""
+    """(dataset, files, bytes) of the folders right below a cache, however deep their files; contents aren't read.
+
+    Hidden folders, and files beside the folders, don't count.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    top = at.getFileSystem(conf).makeQualified(at).toString()
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    return found.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("dataset"), "length").where(~F.col("dataset").startswith(".")).groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).orderBy("dataset")
+    return sizes_by_dataset(found.select(F.substring("path", len(top) + 2, 1 << 30).alias("path"), "length"))
+
+
+def sizes_by_dataset(files: DataFrame) -> DataFrame:
+    """(dataset, files, bytes) of files (path below the cache, length)."""
+    own = files.select(F.regexp_extract("path", "^([^/]+)/", 1).alias("dataset"), "length").where(~F.col("dataset").startswith(".") & (F.col("dataset") != ""))
+    return own.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).orderBy("dataset")
+
+
+# Public datasets by name, fixed values: sensor, modality, approximate bytes, samples, license and home.
+DATASETS = {
+    "coro_tactile": ("CoroCapacitive", "dynamic", 2_000_000_000, 46_200, "Research use only", "https://github.com/Lab-CORO/TactileDataset"),
+    "robotouch": ("DIGIT_v2", "imaging", 94_275_000_000, 320_000, "CC BY-NC 4.0", "https://robotouch.cs.columbia.edu"),
+    "touch_and_go": ("DIGIT_v2", "imaging", 58_720_256_000, 145_000, "MIT (research use)", "https://touchandgo.csail.mit.edu"),
+    "ycb_slide": ("DIGIT_v2, GelSight", "imaging", 12_382_000_000, 110_000, "MIT (research use)", "https://rlab.columbia.edu/ycb_slide"),
+}
+
+
+def datasets(spark: SparkSession, entries: dict[str, tuple] = DATASETS) -> DataFrame:
+    """The catalog as a table, in order of name; more entries are given by the caller."""
+    rows = [(name, *entry) for name, entry in sorted(entries.items())]
+    return spark.createDataFrame(rows, "name string, sensor_type string, modality string, size_bytes long, num_samples long, license string, homepage string")
+
+
+def list_datasets(entries: dict[str, tuple] = DATASETS) -> list[str]:
+    return sorted(entries)
+
+
+def dataset_info(name: str, entries: dict[str, tuple] = DATASETS) -> dict:
+    if name not in entries:
+        raise KeyError(f"unknown dataset {name!r}; known: {', '.join(list_datasets(entries))}")
+    return {"name": name} | dict(zip(("sensor_type", "modality", "size_bytes", "num_samples", "license", "homepage"), entries[name], strict=True))
+
+
+def encoder_weights(weights: DataFrame, sensor_type: str) -> dict | None:
+    """What is published of a sensor's encoder (a row of ``weights`` by sensor_type), or None."""
+    found = weights.where(F.col("sensor_type") == sensor_type).take(1)
+    return found[0].asDict() if found else None
 
 
 def problems(catalog: DataFrame, weights: DataFrame) -> DataFrame:

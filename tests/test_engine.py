@@ -71,12 +71,15 @@ def test_encoder_and_leave_one_out(spark, tmp_path):
         encoders.get_encoder("nothing").fit(frames)
 
 
-def test_cross_modal_brings_equal_labels_together(spark):
+def test_cross_modal_brings_equal_labels_together(spark, tmp_path):
     rng = np.random.default_rng(2)
     centre = {m: {k: rng.normal(size=10) for k in range(4)} for m in "id"}
     side = lambda m: spark.createDataFrame([(f"{m}{k}{t}", f"c{k}", [float(x) for x in centre[m][k] + 0.01 * rng.normal(size=10)]) for k in range(4) for t in range(3)], "recording_id string, label string, features array<double>")
     e = encoders.CrossModalEncoder(8).fit(side("i"), side("d"))
     assert e.classes == ["c0", "c1", "c2", "c3"] and e.n_records == 24
+    e.save(spark, str(tmp_path / "cross"))
+    e = encoders.CrossModalEncoder.load(spark, str(tmp_path / "cross"))
+    assert e.n_records == 24 and len(e.correlations) >= 3
     a = {r.label: np.array(r.embedding) for r in e.encode(side("i"), "imaging").collect()}
     b = {r.label: np.array(r.embedding) for r in e.encode(side("d"), "dynamic").collect()}
     for k in a:
@@ -111,7 +114,7 @@ def test_checksums(spark):
 @pytest.mark.parametrize("dtype", ["int16", "int32", "int64", "float32", "float64", "uint16", "uint32", "uint8"])
 def test_round_trip_of_types(spark, tmp_path, dtype):
     array = np.arange(80).reshape(10, 8).astype(dtype)
-    recordings.write(str(tmp_path / "a"), array, sensor={"type": "BioTac", "serial": ""}, interaction={"type": "static", "normal_force_N": 0.0}, labels={"material": "foam", "task": ""})
+    recordings.write(str(tmp_path / "a.hapt"), array, sensor={"type": "BioTac", "serial": ""}, interaction={"type": "static", "normal_force_N": 0.0}, labels={"material": "foam", "task": ""})
     r = recordings.recordings(spark, str(tmp_path)).first()
     assert r.error is None and r.dtype == dtype and r.n_frames == 10 and r.checksum == hashlib.sha256(array.tobytes()).hexdigest()
     assert r.sensor.serial is None and r.interaction.normal_force_N == 0.0 and r.labels.task is None and r.labels.material == "foam"
@@ -121,27 +124,106 @@ def test_round_trip_of_types(spark, tmp_path, dtype):
 
 def test_scan_is_tolerant(spark, tmp_path):
     write = lambda name, **more: recordings.write(str(tmp_path / name), np.zeros((20, 12), np.float32), sensor={"type": "TacTip"}, interaction={"type": "pressing"}, rate_hz=100.0, **more)
-    write("good", timestamps_s=[i / 100 for i in range(20)], unified=(np.ones((20, 4), np.float32), {"method": "m"}))
-    write("packed.zip")
-    write("damaged", checksum="0" * 64)
-    write("broken")
-    (tmp_path / "broken" / "manifest.json").write_text("{")
+    write("good.hapt", timestamps_s=[i / 100 for i in range(20)], unified=(np.ones((20, 4), np.float32), {"method": "m"}))
+    write("deep/er/packed.hapt.zip")
+    write("chunked.hapt.zarr")
+    write("damaged.hapt", checksum="0" * 64)
+    write("broken.hapt")
+    write(".hidden/unseen.hapt")
+    write("good.hapt/raw/inner.hapt")
+    write("plain")
+    (tmp_path / "broken.hapt" / "manifest.json").write_text("{")
     (tmp_path / "notes.txt").write_text("x")
-    with open(tmp_path / "plain.zip", "wb") as f:
-        f.write(b"no archive")
+    for decoy in ("plain.zip", "bad.hapt.zip"):
+        (tmp_path / decoy).write_bytes(b"no archive")
     ok, bad = recordings.scan(spark, str(tmp_path), verify=True)
-    assert {r.path.rsplit("/", 1)[1] for r in ok.collect()} == {"good", "packed.zip"}
+    assert {r.path.rsplit("/", 1)[1] for r in ok.collect()} == {"good.hapt", "packed.hapt.zip", "chunked.hapt.zarr"}
     errors = {r.path.rsplit("/", 1)[1]: r.error for r in bad.collect()}
-    assert errors["damaged"].startswith("ChecksumError") and errors["broken"].startswith("FormatError") and errors["plain.zip"].startswith("FormatError")
+    assert set(errors) == {"damaged.hapt", "broken.hapt", "bad.hapt.zip"}
+    assert errors["damaged.hapt"].startswith("ChecksumError") and errors["broken.hapt"].startswith("FormatError") and errors["bad.hapt.zip"].startswith("FormatError")
+    assert {r.path.rsplit("/", 1)[1] for r in recordings.recordings(spark, str(tmp_path), recursive=False).collect()} == {"good.hapt", "chunked.hapt.zarr", "damaged.hapt", "broken.hapt", "bad.hapt.zip"}
     s = {r.name: r for r in catalog.summary(ok).collect()}
-    assert abs(s["good"].duration_s - 0.19) < 1e-9 and abs(s["packed.zip"].duration_s - 0.2) < 1e-9 and s["good"].has_unified and s["good"].shape_str == "20×12"
-    assert catalog.gallery(catalog.summary(ok)).count() == 2
+    assert abs(s["good.hapt"].duration_s - 0.19) < 1e-9 and abs(s["packed.hapt.zip"].duration_s - 0.2) < 1e-9 and s["good.hapt"].has_unified and s["good.hapt"].shape_str == "20×12"
+    assert catalog.gallery(catalog.summary(ok)).count() == 3
     assert recordings.scan(spark, str(tmp_path), max_episodes=0)[0].count() == 0
-    assert recordings.frames(spark, str(tmp_path / "good"), unified=True).count() == 20
-    rec = recordings.recordings(spark, str(tmp_path / "good"))
-    integrity.verified(recordings.frames(spark, str(tmp_path / "good")), rec)
+    assert recordings.frames(spark, str(tmp_path / "good.hapt"), unified=True).count() == 20
+    rec = recordings.recordings(spark, str(tmp_path / "good.hapt"))
+    integrity.verified(recordings.frames(spark, str(tmp_path / "good.hapt")), rec)
     with pytest.raises(schema.ChecksumError):
-        integrity.verified(recordings.frames(spark, str(tmp_path / "good")).withColumn("payload", F.lit(b"x")), rec)
+        integrity.verified(recordings.frames(spark, str(tmp_path / "good.hapt")).withColumn("payload", F.lit(b"x")), rec)
+    assert recordings.recordings(spark, str(tmp_path / "plain")).first().error is None
+
+
+@pytest.mark.parametrize("ending", ["hapt", "hapt.zip", "hapt.zarr"])
+@pytest.mark.parametrize("known", [True, False])
+def test_ranges_of_frames(spark, tmp_path, monkeypatch, ending, known):
+    array = np.random.default_rng(0).integers(0, 9, (300, 8, 6, 3)).astype(np.int16)
+    recordings.write(str(tmp_path / f"r.{ending}"), array, sensor={"type": "DIGIT"}, interaction={"type": "sliding"}, modality="imaging", timestamps_s=[i / 30 for i in range(300)])
+    monkeypatch.setattr(recordings, "RANGE_BYTES", 64 * array[0].nbytes)
+    if not known:  # a store that Spark alone can read
+        monkeypatch.setattr(recordings, "seekable", lambda root: False)
+    r = recordings.recordings(spark, str(tmp_path)).first()
+    assert r.error is None and r.shape == [300, 8, 6, 3] and r.stored_checksum == r.checksum == hashlib.sha256(array.tobytes()).hexdigest()
+    assert recordings.recordings(spark, str(tmp_path), check=False).first().checksum is None
+    got = recordings.frames(spark, str(tmp_path), start=50, stop=130).orderBy("frame_idx").collect()
+    assert [x.frame_idx for x in got] == list(range(50, 130)) and b"".join(x.payload for x in got) == array[50:130].tobytes()
+    assert got[0].ts_s == 50 / 30 and got[0].shape == [8, 6, 3] and got[0].dtype == "int16"
+    assert recordings.frames(spark, str(tmp_path), start=299).count() == 1 and recordings.frames(spark, str(tmp_path), start=900).count() == 0
+
+
+@pytest.mark.parametrize("container", ["directory", "zip", "zarr"])
+def test_saved_from_tables(spark, tmp_path, container):
+    arrays = {f"e{k}.hapt": np.random.default_rng(k).normal(size=(40 + k, 5)).astype(np.float32) for k in range(3)}
+    for name, a in arrays.items():
+        recordings.write(str(tmp_path / "in" / name), a, sensor={"type": "BioTac", "calibration_params": {"gain": 2}}, interaction={"type": "static", "normal_force_N": 0.0}, labels={"object_name": "cup", "custom_tags": ["x"]}, unified=(a[:, :2], {"method": "m", "is_lossy": False}))
+    found, frames = recordings.recordings(spark, str(tmp_path / "in")), recordings.frames(spark, str(tmp_path / "in"))
+    out = recordings.save(found, frames, str(tmp_path / "out"), container, recordings.frames(spark, str(tmp_path / "in"), unified=True)).collect()
+    assert len(out) == 3
+    keep = ["n_frames", "shape", "dtype", "checksum", "stored_checksum", "sensor", "interaction", "labels", "modality", "sampling_rate_hz", "unified"]
+    read = lambda root: {r.checksum: r for r in recordings.recordings(spark, str(tmp_path / root)).select(*keep).collect()}
+    assert read("out") == read("in") and {r.checksum for r in out} == set(read("in"))
+    assert recordings.save(found, frames, str(tmp_path / "out"), container).count() == 3  # written anew
+
+
+def test_chunks_of_other_writers():
+    from framelake.sources import _bytes
+
+    data = np.arange(5000, dtype="<f4").tobytes()
+    assert _bytes.unblosc(_bytes.blosc(data, 4)) == data and _bytes.unblosc(_bytes.blosc(b"", 4)) == b""
+    noise = np.random.default_rng(0).integers(0, 256, 999).astype(np.uint8).tobytes()
+    assert _bytes.unblosc(_bytes.blosc(noise, 1)) == noise
+    # two blocks, each of four streams, the second block short and whole
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    blocks, block = [], 16_000
+    for at in range(0, len(data), block):
+        part = np.frombuffer(data[at : at + block], np.uint8).reshape(-1, 4).T
+        streams = [p.tobytes() for p in part] if part.size == block else [part.tobytes()]
+        blocks.append(b"".join(struct.pack("<i", len(c)) + c for c in map(pack, streams)))
+    starts = struct.pack("<2I", 24, 24 + len(blocks[0]))
+    raw = struct.pack("<BBBBIII", 2, 1, 1 | 4 << 5, 4, len(data), block, 24 + sum(map(len, blocks))) + starts + b"".join(blocks)
+    assert _bytes.unblosc(raw) == data
+    with pytest.raises(schema.FormatError):
+        _bytes.unblosc(raw[:2] + bytes([1 | 1 << 5]) + raw[3:])
+
+
+def test_catalog_and_files(spark, tmp_path):
+    for name in ("one/a.hapt/raw/data.npy", "one/b.txt", "two/c.txt", ".three/d.txt", "loose.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    assert [tuple(r) for r in catalog.cache_sizes(spark, str(tmp_path)).collect()] == [("one", 2, 10), ("two", 1, 5)]
+    assert catalog.list_datasets() == sorted(catalog.DATASETS) and catalog.dataset_info("ycb_slide")["num_samples"] == 110_000
+    with pytest.raises(KeyError):
+        catalog.dataset_info("none")
+    assert catalog.datasets(spark).count() == len(catalog.DATASETS)
+    weights = spark.createDataFrame([("BioTac", "x")], "sensor_type string, sha256 string")
+    assert catalog.encoder_weights(weights, "BioTac")["sha256"] == "x" and catalog.encoder_weights(weights, "TacTip") is None
+    integrity.verify_file(spark, str(tmp_path / "two/c.txt"), hashlib.sha256(b"12345").hexdigest().upper())
+    with pytest.raises(schema.ChecksumError):
+        integrity.verify_file(spark, str(tmp_path / "two/c.txt"), "0" * 64)
+    hashes = integrity.content_hash(spark.createDataFrame([("r", "b", bytearray(b"2")), ("r", "a", bytearray(b"1"))], "recording_id string, name string, content binary")).first()
+    assert hashes.file_hash == hashlib.sha256("\n".join(f"{n}:{hashlib.sha256(c).hexdigest()}" for n, c in (("a", b"1"), ("b", b"2"))).encode()).hexdigest()
 
 
 def test_sensor_tables(spark, tmp_path):
@@ -160,6 +242,17 @@ def test_sensor_tables(spark, tmp_path):
     assert [len(r["values"]) for r in rows] == [57, 57, 57] and rows[0]["values"][5] == 6.0 and rows[2]["values"][56] == 0.0
     with pytest.raises(ValueError):
         tables.get_sensor("nothing")
+    folder = tmp_path / "taxels"
+    folder.mkdir()
+    for name, x in (("a_Curved_Real_Abaqus.csv", 1), ("b_flat_simulation_abaqus_V2.csv", 2)):
+        (folder / name).write_text("p,q\n" + "\n".join(f"{x},{x * 10 + i}" for i in range(3)))
+    read = lambda **more: tables.get_sensor("CoroCapacitive")(spark, str(folder), **more).orderBy("frame_idx").first()["values"]
+    assert read(source="simulation") == [20.0] and read(source="curved_real") == [10.0] and read() == [10.0]
+    assert tables.can_load(spark, "TacTip", str(pins)) and not tables.can_load(spark, "TacTip", str(bio)) and tables.can_load(spark, "BioTac", str(bio))
+    assert tables.can_load(spark, "CoroCapacitive", str(folder)) and not tables.can_load(spark, "CoroCapacitive", str(coro)) and not tables.can_load(spark, "DIGIT", str(folder))
+    (tmp_path / "none.csv").write_text("")
+    with pytest.raises(schema.FormatError):
+        tables.get_sensor("BioTac")(spark, str(tmp_path / "none.csv"))
 
 
 def png(a):
@@ -177,6 +270,18 @@ def test_images(spark, tmp_path):
     rows = tables.get_sensor("DIGIT")(spark, str(tmp_path / "shots"))
     got = rows.orderBy("frame_idx").collect()
     assert [r.payload == a.tobytes() for r, a in zip(got, shots, strict=True)] == [True] * 4
+    fitted = tables.get_sensor("TacTip")(spark, str(tmp_path / "shots"))
+    assert fitted.count() == 4
+    (tmp_path / "shots" / "f9.png").write_bytes(png(shots[0][:12, :16]))
+    with pytest.raises(Exception, match="several sizes"):
+        tables.get_sensor("GelSight")(spark, str(tmp_path / "shots")).collect()
+    assert {tuple(r.shape) for r in fitted.collect()} == {(24, 32, 3)}
+    (tmp_path / "shots" / "f9.png").rename(tmp_path / "shots" / "f10.png")
+    by = tables.image_folder(spark, str(tmp_path / "shots"), fit_first=True, by_number=r"f(\d+)").orderBy("frame_idx").collect()
+    assert [r.payload == a.tobytes() for r, a in zip(by, shots, strict=False)] == [True] * 4 and len(by) == 5
+    (tmp_path / "shots" / "f10.png").unlink()
+    shown = images.frame_images(rows, 16).first()
+    assert (shown.mode, shown.height, shown.width, len(shown.pixels)) == ("RGB", 12, 16, 12 * 16 * 3)
     e = encoders.get_encoder("DIGIT").encode(rows).collect()
     assert len(e) == 4 and len(e[0].embedding) == 256 and 0 <= min(e[0].embedding) and max(e[0].embedding) <= 1
     flat = images.grid(np.full((1, 24, 32), 100, np.uint8), 256)
