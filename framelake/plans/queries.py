@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from framelake.functions import labels, metrics, timeindex, vectors, windows
 from framelake.operators import centroids, encoders, integrity, linalg
+from framelake.operators.dataset import WindowedDataset
 from framelake.plans.tables import FRAMES_SQL, frames, table
+from framelake.schema import recording_fields
 from framelake.sources import catalog
+from framelake.streaming import recorder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,6 +87,17 @@ def window_locate(spark, d):
     return windows.locate(_lengths(spark, d).select("recording_id", windows.window_count(F.col("n"), 16, 8).alias("n_windows")), "recording_id")
 
 
+@query(f"""WITH {FRAMES_SQL}, r AS (SELECT recording_id, count(*) AS n, min(event_type) AS label FROM f GROUP BY 1), c AS (SELECT *, dense_rank() OVER (ORDER BY label) AS y, (n + 7) // 8 AS n_windows FROM r),
+  g AS (SELECT *, coalesce(sum(n_windows) OVER (ORDER BY recording_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM c), w AS (SELECT *, unnest(range(0, n_windows)) AS j FROM g)
+  SELECT CAST(first + j AS BIGINT) AS "index", w.recording_id, CAST(j AS BIGINT) AS "window", CAST(y AS BIGINT) AS y, CAST(count(*) AS BIGINT) AS n_frames, round(sum(value), 4) AS total FROM w JOIN f ON f.recording_id = w.recording_id AND frame_idx >= j * 8 AND frame_idx < j * 8 + 16 GROUP BY 1, 2, 3, 4""")
+def labelled_windows(spark, d):
+    """Windows of all recordings with their global index and their label's class."""
+    f = frames(spark, d).withColumn("values", F.array("value"))
+    recordings = f.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_frames"), F.min("event_type").alias("label"))
+    rows = WindowedDataset(f, recordings, 16, 8).windows()
+    return rows.select("index", "recording_id", "window", "y", F.size("x").cast("long").alias("n_frames"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]), 4).alias("total"))
+
+
 @query(f"""WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx // 16 AS BIGINT) AS "window", min(ts_s) AS first_s, max(ts_s) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1, 2""")
 def window_timestamps(spark, d):
     rows = windows.windows(frames(spark, d), 16)
@@ -106,25 +120,23 @@ def frame_index_at_rate(spark, d):
 
 @query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, value FROM f WHERE frame_idx >= 10 AND frame_idx < 20")
 def frame_slice(spark, d):
-    return frames(spark, d).where("frame_idx >= 10 AND frame_idx < 20").select("recording_id", "frame_idx", "value")
+    return timeindex.slice_of(frames(spark, d), 10, 20).select("recording_id", "frame_idx", "value")
 
 
 @query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, value, k FROM f WHERE frame_idx = 7")
 def frame_at(spark, d):
-    return frames(spark, d).where("frame_idx = 7").select("recording_id", "frame_idx", "value", "k")
+    return timeindex.frame(frames(spark, d), 7).select("recording_id", "frame_idx", "value", "k")
 
 
 @query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, ts_s AS t, k AS c0, value AS c1, k AS c2 FROM f WHERE frame_idx < 30")
 def signal_trace(spark, d):
-    channels = F.array(F.col("value"), F.col("k"))
-    picked = F.transform(F.array(*map(F.lit, (1, 0, 1))), lambda c: F.get(F.col("channels"), c))
-    rows = frames(spark, d).where("frame_idx < 30").withColumn("channels", channels).withColumn("picked", picked)
-    return rows.select("recording_id", "frame_idx", F.col("ts_s").alias("t"), *(F.get("picked", F.lit(i)).alias(f"c{i}") for i in range(3)))
+    rows = timeindex.trace(frames(spark, d).withColumn("values", F.array("value", "k")), [1, 0, -1], 30)
+    return rows.select("recording_id", "frame_idx", "t", *(F.get("picked", F.lit(i)).alias(f"c{i}") for i in range(3)))
 
 
 @query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(c AS INTEGER) AS channel, CASE c WHEN 0 THEN value ELSE k END AS x FROM f, (VALUES (0), (1)) v(c) WHERE frame_idx = 3")
 def frame_signals(spark, d):
-    return frames(spark, d).where("frame_idx = 3").select("recording_id", F.posexplode(F.array("value", "k")).alias("channel", "x"))
+    return timeindex.signals(frames(spark, d).withColumn("values", F.array("value", "k")), 3)
 
 
 @query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(coalesce((abs(value - lag(value) OVER w) + abs(k - lag(k) OVER w)) / 2, 0), 6) AS change FROM f WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)")
@@ -147,7 +159,9 @@ def segments_(spark, d):
 
 @query(f"WITH {FRAMES_SQL} SELECT recording_id, count(*) AS n_frames, round(max(ts_s) - min(ts_s), 6) AS duration_s, bool_or(ts_s IS NOT NULL) AS has_timestamps FROM f GROUP BY 1")
 def recording_durations(spark, d):
-    return frames(spark, d).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_frames"), F.array_sort(F.collect_list("ts_s")).alias("ts")).select("recording_id", "n_frames", r6(timeindex.duration_s(F.col("ts"), F.col("n_frames"), F.lit(30.0))).alias("duration_s"), (F.size("ts") > 0).alias("has_timestamps"))
+    facts = frames(spark, d).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count("ts_s").alias("n"), F.min("ts_s").alias("first"), F.max("ts_s").alias("last"))
+    ends = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array().cast("array<double>"))
+    return facts.select("recording_id", "n_frames", r6(timeindex.duration_s(ends, F.col("n_frames"), F.lit(30.0))).alias("duration_s"), (F.col("n") > 0).alias("has_timestamps"))
 
 
 # labels ------------------------------------------------------------------------------------
@@ -193,14 +207,43 @@ def _episodes(spark, d) -> DataFrame:
 _EPISODES_SQL = "e AS (SELECT d.doc_id, lang AS sensor_type, source AS modality, CAST(quality AS VARCHAR) AS material, n_chars AS size_bytes FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 
-@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n_frames, CAST(sum(length(text)) AS BIGINT) AS size_bytes, arg_min(role, turn) AS first_role, count(DISTINCT role) AS n_roles, CAST(count(*) / 2.0 AS DOUBLE) AS duration_s FROM conversations GROUP BY 1")
+def _as_recordings(rows: DataFrame, **columns: F.Column) -> DataFrame:
+    """Rows in the shape of recordings; columns that aren't given are null."""
+    out = []
+    for part in recording_fields():
+        given = columns.get(part.name)
+        out.append((F.lit(None) if given is None else given).cast(part.dataType).alias(part.name))
+    return rows.select(*out)
+
+
+def _struct(kind: str, **given: F.Column) -> F.Column:
+    """A struct of one of the schema's kinds with some of its fields; others are null."""
+    fields = next(f for f in recording_fields() if f.name == kind).dataType.fields
+    return F.struct(*((given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+@query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_frames, CAST(sum(length(text)) AS BIGINT) AS size_bytes, arg_min(role, turn) AS first_role,
+  CAST(count(DISTINCT role) AS BIGINT) AS n_roles, CAST(count(*) / 2.0 AS DOUBLE) AS duration_s, false AS has_timestamps, CAST(count(*) AS VARCHAR) || '×1' AS shape_str FROM conversations GROUP BY 1""")
 def episode_summary(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_frames"), F.sum(F.length("text")).alias("size_bytes"), F.min_by("role", "turn").alias("first_role"), F.count_distinct("role").alias("n_roles")).withColumn("duration_s", timeindex.duration_s(F.array().cast("array<double>"), F.col("n_frames"), F.lit(2.0)))
+    """Conversations as recordings of turns, two a second, summarised."""
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("bytes"), F.min_by("role", "turn").alias("first"), F.collect_set("role").alias("roles"))
+    recordings = _as_recordings(
+        rows, path=F.col("conv_id"), n_frames=F.col("n"), size_bytes=F.col("bytes"), sampling_rate_hz=F.lit(2.0), shape=F.array(F.col("n"), F.lit(1)), sensor=_struct("sensor", type=F.col("first")), labels=_struct("labels", custom_tags=F.col("roles"))
+    )
+    kind = dict(rows.dtypes)["conv_id"]
+    return catalog.summary(recordings).select(F.col("path").cast(kind).alias("conv_id"), "n_frames", "size_bytes", F.col("sensor_type").alias("first_role"), F.size("custom_tags").cast("long").alias("n_roles"), "duration_s", "has_timestamps", "shape_str")
 
 
-@query(f"WITH {_EPISODES_SQL} SELECT doc_id, sensor_type, modality, material, round(size_bytes / 1e3, 3) AS size_kb FROM e")
+@query(f"""WITH {_EPISODES_SQL} SELECT CAST(doc_id AS VARCHAR) AS name, sensor_type, modality, material, n_frames, 100.0::DOUBLE AS sampling_rate_hz, round(n_frames / 100.0, 3) AS duration_s, round(size_bytes / 1e6, 2) AS size_mb, false AS has_unified, modality || '/' || doc_id AS path
+  FROM (SELECT *, CAST(size_bytes AS BIGINT) AS n_frames FROM e)""")
 def gallery(spark, d):
-    return _episodes(spark, d).select("doc_id", "sensor_type", "modality", "material", F.round(F.col("size_bytes") / 1e3, 3).alias("size_kb"))
+    """Documents as recordings of characters, 100 a second, in the gallery."""
+    rows = _episodes(spark, d)
+    recordings = _as_recordings(
+        rows, path=F.concat_ws("/", "modality", F.col("doc_id").cast("string")), modality=F.col("modality"), n_frames=F.col("size_bytes"), size_bytes=F.col("size_bytes"), sampling_rate_hz=F.lit(100.0),
+        sensor=_struct("sensor", type=F.col("sensor_type")), labels=_struct("labels", material=F.col("material")),
+    )
+    return catalog.gallery(catalog.summary(recordings)).drop("object_name", "task", "interaction_type")
 
 
 @query(f"WITH {_EPISODES_SQL} SELECT doc_id, sensor_type, modality, material FROM e WHERE sensor_type IN ('en', 'de') AND modality IN ('src0', 'src1', 'src2') AND material IN ('1')")
@@ -221,15 +264,32 @@ def scan_limit(spark, d):
 
 @query("SELECT source AS dataset, CAST(count(*) AS BIGINT) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def cache_info(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"))
+    """Documents as files of a folder a source."""
+    files = table(spark, d, "documents").select(F.concat_ws("/", "source", F.lit("texts"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("long").alias("length"))
+    return catalog.sizes_by_dataset(files)
 
 
-@query()
+_CATALOG_SQL = """c AS (SELECT CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 11 <> 0 THEN url END AS license, 'S' || (page_id % 3) || ', S' || (page_id % 5) AS sensor_type,
+  CASE WHEN page_id % 7 = 0 THEN 'ftp://x' ELSE url END AS url, CASE WHEN page_id % 13 = 0 THEN 0 ELSE length(html) END AS size_bytes, CASE WHEN page_id % 17 = 0 THEN 'xyz' ELSE sha256(url) END AS sha256,
+  CASE WHEN page_id % 4 = 0 THEN sha256('S0') WHEN page_id % 4 = 1 THEN sha256('S1') END AS encoder_sha256 FROM pages), w AS (SELECT 'S' || i AS sensor_type, sha256('S' || i) AS sha256 FROM range(4) t(i))"""
+
+
+@query(f"""WITH {_CATALOG_SQL}, own AS (SELECT name, 'missing license' AS problem FROM c WHERE license IS NULL UNION ALL SELECT name, 'missing url' FROM c WHERE url IS NULL UNION ALL SELECT name, 'missing size_bytes' FROM c WHERE size_bytes IS NULL
+  UNION ALL SELECT name, 'size must be positive' FROM c WHERE size_bytes <= 0 OR size_bytes IS NULL UNION ALL SELECT name, 'not a web address' FROM c WHERE url IS NULL OR NOT regexp_matches(url, '^https?://')
+  UNION ALL SELECT name, 'not a SHA-256' FROM c WHERE NOT regexp_full_match(sha256, '[0-9a-f]{{64}}')), s AS (SELECT name, encoder_sha256, unnest(string_split(sensor_type, ', ')) AS sensor_type FROM c WHERE encoder_sha256 IS NOT NULL)
+  SELECT * FROM own UNION ALL SELECT name, 'encoder differs from the published one: ' || s.sensor_type FROM s LEFT JOIN w USING (sensor_type) WHERE w.sha256 IS NULL OR w.sha256 <> encoder_sha256""")
 def catalog_validate(spark, d):
-    good = ("sample", "Sample", "d", "TacTip", "dynamic", "https://example.org/x.zip", "MIT", "c", 10, "zip", "0" * 64, None)
-    rows = [good, ("bad", None, "d", "BioTac, TacTip", "dynamic", "ftp://x", "MIT", "c", 0, "zip", "xyz", "a" * 64)]
-    schema = ", ".join(f"{c} {'long' if c == 'size_bytes' else 'string'}" for c in (*catalog.REQUIRED, "sha256", "encoder_sha256"))
-    return catalog.problems(spark.createDataFrame(rows, schema), spark.createDataFrame([("TacTip", "a" * 64)], "sensor_type string, sha256 string"))
+    """Pages as entries of a catalog, some with something wrong, against published weights of four sensors."""
+    p, n = table(spark, d, "pages"), F.col("page_id")
+    sha = lambda t: F.sha2(F.lit(t), 256)
+    entries = p.select(
+        n.cast("string").alias("name"), F.lit("t").alias("title"), F.lit("d").alias("description"), F.concat(F.lit("S"), n % 3, F.lit(", S"), n % 5).alias("sensor_type"), F.lit("dynamic").alias("modality"),
+        F.when(n % 7 == 0, F.lit("ftp://x")).otherwise(F.col("url")).alias("url"), F.when(n % 11 != 0, F.col("url")).alias("license"), F.lit("c").alias("citation"),
+        F.when(n % 13 == 0, F.lit(0)).otherwise(F.length("html")).cast("long").alias("size_bytes"), F.lit("zip").alias("format"),
+        F.when(n % 17 == 0, F.lit("xyz")).otherwise(F.sha2("url", 256)).alias("sha256"), F.when(n % 4 == 0, sha("S0")).when(n % 4 == 1, sha("S1")).alias("encoder_sha256"),
+    )
+    weights = spark.range(4).select(F.concat(F.lit("S"), "id").alias("sensor_type")).withColumn("sha256", F.sha2("sensor_type", 256))
+    return catalog.problems(entries, weights)
 
 
 # vectors -----------------------------------------------------------------------------------
@@ -244,10 +304,9 @@ _U = _V + ", u AS (SELECT vec_id, label, list_transform(v, lambda x: x / CASE WH
 _C = _U + ", e AS (SELECT label, i, avg(u[i]) AS x FROM u, range(1, 65) t(i) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS mean FROM e GROUP BY 1)"
 
 
-@query(f"WITH {_V} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CASE WHEN i <= 64 THEN v[i] ELSE 0.0 END AS x FROM v, range(60, 71) t(i)")
+@query(f"WITH {_V} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CASE WHEN i <= 64 THEN v[i] ELSE 0.0 END AS x FROM v, range(1, 71) t(i)")
 def pad_to_dim(spark, d):
-    rows = _vectors(spark, d).select("vec_id", F.posexplode(vectors.pad_to(F.col("embedding"), 70)).alias("dim", "x"))
-    return rows.where("dim >= 59")
+    return _vectors(spark, d).select("vec_id", F.posexplode(vectors.pad_to(F.col("embedding"), 70)).alias("dim", "x"))
 
 
 @query(f"WITH {_V} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, v[i] AS x FROM v, range(1, 17) t(i)")
@@ -267,7 +326,7 @@ def minmax_uint8(spark, d):
 
 @query(f"WITH {_V} SELECT CAST(i - 1 AS INTEGER) AS dim, round(avg(v[i]), 6) AS x FROM v, range(1, 65) t(i) GROUP BY i")
 def global_mean(spark, d):
-    return vectors.long_form(_vectors(spark, d), "embedding").groupBy("dim").agg(r6(F.avg("x")).alias("x"))
+    return vectors.sums(_vectors(spark, d), "embedding").select("dim", r6(F.col("x") / F.col("n")).alias("x"))
 
 
 @query(f"WITH {_V} SELECT vec_id // 5 AS record, CAST(i - 1 AS INTEGER) AS dim, round(avg(v[i]), 6) AS x FROM v, range(1, 65) t(i) GROUP BY 1, i")
@@ -341,6 +400,18 @@ def temporal_mean_std(spark, d):
     return metrics.temporal(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), "label").withColumn("mean", r6("mean")).withColumn("std", r6("std"))
 
 
+@query(f"WITH {_V}, p AS (SELECT label, i, v[i] AS x FROM v, range(1, 65) t(i)), d AS (SELECT label, (i - 1) % 4 AS channel, i, stddev_pop(x) AS s FROM p GROUP BY 1, 2, 3) SELECT p.label, CAST((p.i - 1) % 4 AS INTEGER) AS channel, round(avg(p.x), 6) AS mean, round(stddev_pop(p.x), 6) AS std, round((SELECT avg(s) FROM d WHERE d.label = p.label AND d.channel = (p.i - 1) % 4), 6) AS temporal_std FROM p GROUP BY p.label, (p.i - 1) % 4")
+def channel_mean_std(spark, d):
+    rows = metrics.channels(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), 4, "label")
+    return rows.select("label", "channel", *(r6(c).alias(c) for c in ("mean", "std", "temporal_std")))
+
+
+@query(f"WITH {_V}, c AS (SELECT vec_id, ((i - 1) // 8) // 2 * 4 + ((i - 1) % 8) // 2 AS cell, avg(v[i]) AS x FROM v, range(1, 65) t(i) GROUP BY 1, 2), a AS (SELECT vec_id, CAST(cell AS INTEGER) AS at, x FROM c WHERE cell < 10 UNION ALL SELECT vec_id, 10, avg(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1 UNION ALL SELECT vec_id, 11, stddev_pop(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1) SELECT vec_id, at, round(x, 6) AS x FROM a")
+def grid_summary(spark, d):
+    rows = _vectors(spark, d).select(F.col("vec_id").alias("recording_id"), F.lit(0).alias("frame_idx"), F.col("embedding").cast("array<double>").alias("values"))
+    return metrics.cell_summary(rows, 8, 8, 4, 4).select(F.col("recording_id").alias("vec_id"), F.posexplode("features").alias("at", "x")).withColumn("x", r6("x"))
+
+
 @query("SELECT event_type, CAST(least(floor(value / (256.0 / 32)), 31) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM events WHERE value >= 0 AND value <= 256 GROUP BY 1, 2")
 def histogram32(spark, d):
     return metrics.histogram(table(spark, d, "events"), F.col("value"), 0, 256, 32, "event_type")
@@ -355,21 +426,30 @@ def grid_cells(spark, d):
 # linear algebra: rows only, tests hold them against numpy --------------------------------------
 
 
-@query()
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM range(64) a(i), range(64) b(j)")
 def whitened_gram(spark, d):
-    """The Gram matrix of whitened vectors: the identity."""
+    """The Gram matrix of the whitened vectors, row by row: the identity."""
     v = _vectors(spark, d)
     m = linalg.moments(v, "embedding")
-    w = linalg.whitening(m)
-    gram = (m.r @ w).T @ (m.r @ w)
-    return spark.createDataFrame([(i, j, round(float(gram[i, j]), 6)) for i in range(len(gram)) for j in range(len(gram))], "i int, j int, x double")
+    gram = linalg.gram(linalg.mapped(v, "embedding", m.mean, linalg.whitening(m), "white"), "white")
+    return gram.select("i", "j", (F.round("x", 4) + 0.0).alias("x"))
 
 
 @query()
-def encode_trained_norms(spark, d):
+def encode_trained(spark, d):
+    """Each vector's class by an encoder fitted to all of them, 24 records of 6 classes."""
     rows = _vectors(spark, d).select((F.col("vec_id") % 24).alias("recording_id"), (F.col("vec_id") % 24 % 6).cast("string").alias("label"), "vec_id", F.col("embedding").cast("array<double>").alias("values"))
-    fitted = encoders.Encoder("BioTac").fit(rows)
-    return fitted.encode(rows).select("vec_id", F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
+    fitted = encoders.Encoder("BioTac").fit(rows, evaluate=False)
+    found = fitted.encode(rows).select("vec_id", "label", "embedding")
+    near = centroids.nearest(found, centroids.centroids(found), "vec_id")
+    return near.select("vec_id", "predicted", F.round("similarity", 4).alias("similarity"))
+
+
+@query()
+def leave_one_record_out(spark, d):
+    """The published benchmark's procedure on the vectors: 24 records of 6 classes, each left out in turn."""
+    rows = _vectors(spark, d).select((F.col("vec_id") % 24).cast("string").alias("record"), (F.col("vec_id") % 24 % 6).cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("features"))
+    return spark.createDataFrame([(encoders.leave_one_record_out(rows),)], "score double")
 
 
 @query()
@@ -379,10 +459,11 @@ def cca_correlations(spark, d):
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(e.correlations[: len(e.classes) - 1])], "i int, correlation double")
 
 
-@query()
+@query(f"""WITH {_V}, x AS (SELECT vec_id, i, v[i] AS x FROM v, range(1, 65) t(i)), c AS (SELECT a.i, b.i AS j, abs(corr(a.x, b.x)) AS r FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2)
+SELECT round(2 * sum(r) / (64 * 64), 6) AS before, 0.0::DOUBLE AS after FROM c""")
 def decorrelation_score(spark, d):
     m = linalg.moments(_vectors(spark, d), "embedding")
-    return spark.createDataFrame([(linalg.decorrelation(m.r), linalg.decorrelation(m.r @ linalg.whitening(m)))], "before double, after double")
+    return spark.createDataFrame([(round(linalg.decorrelation(m.r), 6), round(linalg.decorrelation(m.r @ linalg.whitening(m)), 4))], "before double, after double")
 
 
 # integrity and recording -----------------------------------------------------------------------
@@ -394,11 +475,10 @@ def recording_checksum(spark, d):
     return integrity.checksums(f)
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(count(*) AS BIGINT) AS n_frames, round(sum(value), 4) AS total, sha256(string_agg(CAST(event_id AS VARCHAR), '' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1")
+@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(count(*) AS BIGINT) AS n_frames, [CAST(1 AS BIGINT)] AS shape, 'uint8' AS dtype, round(min(ts_s), 6) AS first_s, round(max(ts_s), 6) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), '' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1")
 def recorder_finalize(spark, d):
-    f = frames(spark, d)
-    facts = f.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.sum("value"), 4).alias("total"))
-    return facts.join(integrity.checksums(f.withColumn("payload", F.col("event_id").cast("string").cast("binary"))), "recording_id")
+    f = frames(spark, d).withColumns({"payload": F.col("event_id").cast("string").cast("binary"), "shape": F.array(F.lit(1)).cast("array<bigint>"), "dtype": F.lit("uint8")})
+    return recorder.finalized(f, with_times=False).select("recording_id", "n_frames", "shape", "dtype", r6("first_s").alias("first_s"), r6("last_s").alias("last_s"), "checksum")
 
 
 @query("SELECT l_orderkey AS recording_id, CAST((l_linenumber - 1) // 2 AS BIGINT) AS \"window\", CAST(count(*) AS BIGINT) AS n_frames, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1, 2")
