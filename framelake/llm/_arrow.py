@@ -1,8 +1,8 @@
 """Vectorised text primitives over Arrow buffers, shared by the operators.
 
-All work is done on slices of a batch whose text is at most ``SLICE_BYTES``
-(one longer text makes a slice of its own), so memory follows the longest
-text and never the partition.
+All work is done on slices of a batch of at most ``SLICE_ROWS`` rows whose text
+is at most ``SLICE_BYTES`` (one longer text makes a slice of its own), so memory
+follows the longest text and never the partition.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
+SLICE_ROWS = 512
 
 #: Bytes of words that white space (space, tab to carriage return) parts.
 NOT_SPACE = np.ones(256, bool)
@@ -84,7 +85,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + SLICE_ROWS)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``; where it is unset, as
-in tests, a temporary one is made and set. Tables are Parquet files, so a
+The folder is the session's ``spark.checkpoint.dir``. Where it is unset, a
+temporary one is made and set if the master is one local process, as in tests;
+a cluster without that setting is refused. Tables are Parquet files, so a
 lost executor costs the reruns of its tasks alone and nothing is read from
 an executor's own disk.
 """
@@ -9,19 +10,28 @@ an executor's own disk.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2000
+
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as texts are long: once a session, whatever its queries."""
+    held = spark.conf.get(_BATCH, None)
+    if held is None or not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,18 +42,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root, self.n = spark, f"{folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        bounded(spark)
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame) -> Table:
         """Write a table, let go of the shuffle files behind it, and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        held = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, str(min(int(held), BATCH_ROWS)))  # texts are long
-        try:
-            df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(_BATCH, held)
+        df.write.option("compression", "zstd").parquet(path)
         del df
         self.spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are garbage
         return Table(self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path), self, path)
