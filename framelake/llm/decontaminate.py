@@ -2,8 +2,8 @@
 
 The benchmark's windows (n consecutive words; an item of fewer words is one
 window of its own length) become a sorted hash set. A block of at most
-``MAX_WINDOWS`` windows is broadcast at a time, so what is broadcast has a
-proven bound: a benchmark within it takes one scan of the corpus and no
+``MAX_WINDOWS`` windows (in flat arrays, about 100 bytes each) is broadcast at a time,
+so what is broadcast has a proven bound: a benchmark within it takes one scan of the corpus and no
 shuffle; a larger one takes a scan for each block, whose hits (rows of
 contaminated documents alone) are then merged by document. Every hit is
 verified against the words themselves. `clean` carries the hits of the blocks
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._arrow import LOWER, WORD_CHARS, Words, cut, replace_column, slices, span_hashes, utf8, window_hashes, window_starts, words
-from framelake.llm._scratch import Scratch
+from framelake.llm._scratch import Scratch, bounded
 
 N_WORDS = 10
-MAX_WINDOWS = 2_000_000
+MAX_WINDOWS = 1_000_000
 _FILTER_BITS = 22
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
@@ -39,11 +39,18 @@ REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 @dataclass
 class Grams:
-    """Windows of one length: sorted distinct hashes, the items of each and its words."""
+    """Windows of one length: sorted hashes, and of each its words and its items, all in flat arrays.
+
+    Window i has the bytes text[text_at[i]:text_at[i + 1]] and the items
+    names[j] for j in owners[owner_at[i]:owner_at[i + 1]].
+    """
 
     hashes: np.ndarray
-    owners: list[tuple[str, ...]]
-    texts: list[bytes]
+    text: bytes
+    text_at: np.ndarray
+    owners: np.ndarray
+    owner_at: np.ndarray
+    names: list[str]
     seen: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -51,12 +58,18 @@ class Grams:
         self.seen[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
 
     def __getstate__(self):
-        return self.hashes, self.owners, self.texts
+        return self.hashes, self.text, self.text_at, self.owners, self.owner_at, self.names
 
     def __setstate__(self, state) -> None:
-        self.hashes, self.owners, self.texts = state
+        self.hashes, self.text, self.text_at, self.owners, self.owner_at, self.names = state
         self.__post_init__()
 
+    def words(self, i: int) -> bytes:
+        return self.text[self.text_at[i] : self.text_at[i + 1]]
+
+    def items(self, i: int) -> list[str]:
+        return [self.names[j] for j in self.owners[self.owner_at[i] : self.owner_at[i + 1]].tolist()]
+
 
 def build(items: list[tuple[object, str | None]], n: int = N_WORDS) -> dict[int, Grams]:
     """The hash set of the windows of some items, by window length."""
@@ -76,7 +89,11 @@ def build(items: list[tuple[object, str | None]], n: int = N_WORDS) -> dict[int,
         w = words(joined, np.array([0, len(joined)]), WORD_CHARS)
         hashes = window_hashes(span_hashes(joined, w.start, w.end), size)[::size]
         order = np.argsort(hashes, kind="stable")
-        out[size] = Grams(hashes[order], [tuple(sorted(grams[texts[i]])) for i in order], [texts[i] for i in order])
+        names = sorted(set().union(*grams.values()))
+        code = {name: k for k, name in enumerate(names)}
+        own = [sorted(code[x] for x in grams[texts[i]]) for i in order.tolist()]
+        ends = lambda lengths: np.concatenate(([0], np.cumsum(np.fromiter(lengths, np.int64, len(order)))))
+        out[size] = Grams(hashes[order], b"".join(texts[i] for i in order.tolist()), ends(len(texts[i]) for i in order.tolist()), np.fromiter((k for o in own for k in o), np.int32), ends(map(len, own)), names)
     return out
 
 
@@ -98,24 +115,28 @@ def scan(data: np.ndarray, offsets: np.ndarray, index: dict[int, Grams]) -> tupl
             for i, j, row in zip(near[same].tolist(), k[same].tolist(), rows[same].tolist(), strict=True):
                 text = b" ".join(low[a:b].tobytes() for a, b in zip(w.start[i : i + size], w.end[i : i + size], strict=True))
                 while j < len(grams.hashes) and grams.hashes[j] == at[i]:  # equal hashes of different words stand together
-                    if grams.texts[j] == text:
+                    if grams.words(j) == text:
                         edge[i] += 1
                         edge[i + size] -= 1
-                        items.setdefault(row, set()).update(grams.owners[j])
+                        items.setdefault(row, set()).update(grams.items(j))
                         break
                     j += 1
     return w, np.cumsum(edge)[:n] > 0, items
 
 
-def _blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[dict[int, Grams]]:
-    """Hash sets that each hold at most about ``most`` windows (or one item)."""
+def _blocks(benchmark: DataFrame, n: int, most: int) -> tuple[int, Iterator[dict[int, Grams]]]:
+    """How many hash sets there are, and each in turn: it holds about ``most`` windows at most (or one item)."""
     text = F.coalesce("text", F.lit(""))
     rows = benchmark.select("item_id", "text")
     total = rows.agg(F.sum(F.size(F.regexp_extract_all(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), 0)))).first()[0] or 0
     blocks = max(1, -(-total // most))
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield build([(r.item_id, r.text) for r in part.toLocalIterator()], n)
+
+    def each() -> Iterator[dict[int, Grams]]:
+        for k in range(blocks):
+            part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            yield build([(r.item_id, r.text) for r in part.toLocalIterator()], n)
+
+    return blocks, each()
 
 
 def _digest(n_words: int, n_hit: int, items: list[str]) -> tuple:
@@ -125,13 +146,18 @@ def _digest(n_words: int, n_hit: int, items: list[str]) -> tuple:
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """A row for each document: its words, those hit, and the items that occur in it."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(x) for x in _blocks(benchmark, n, max_windows)]
+    bounded(docs.sparkSession)
+    many, blocks = _blocks(benchmark, n, max_windows)
     rows = docs.select("doc_id", "text")
-    if len(blocks) == 1:
-        return rows.mapInArrow(lambda it, b=blocks[0]: _report(it, b.value), REPORT)
-    hits = None
-    for b in blocks:
+    if many == 1:
+        only = sc.broadcast(next(blocks))
+        return rows.mapInArrow(lambda it: _report(it, only.value), REPORT)
+    hits, scratch = None, Scratch(docs.sparkSession)
+    for block in blocks:  # a block is let go of before the next is made
+        b = sc.broadcast(block)
         part = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(lambda it, b=b: _hits(it, b.value), "doc_id long, text_key long, hit array<int>, items array<string>")
+        part = scratch.keep(part).df
+        b.unpersist()
         hits = part if hits is None else hits.unionByName(part)
     merged = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     counted = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_counted, "doc_id long, text_key long, n_words long")
@@ -187,20 +213,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, max_windows:
     texts, with a table in the shared folder between them, and cut at once.
     """
     sc, out = docs.sparkSession.sparkContext, docs
-    blocks = [sc.broadcast(x) for x in _blocks(benchmark, n, max_windows)]
+    bounded(docs.sparkSession)
+    many, blocks = _blocks(benchmark, n, max_windows)
     marks = None
-    if len(blocks) > 1:
+    if many > 1:
         marks = "_hit"
         while marks in docs.columns:
             marks += "_"
         out = docs.withColumn(marks, F.array().cast("array<int>"))
         scratch, before = Scratch(docs.sparkSession), None
-        for b in blocks[:-1]:
+        for _ in range(many - 1):
+            b = sc.broadcast(next(blocks))
             after = scratch.keep(out.mapInArrow(lambda it, b=b, marks=marks: _mark(it, b.value, marks), out.schema))
+            b.unpersist()
             if before is not None:
                 before.drop()
             before, out = after, after.df
-    return out.mapInArrow(lambda it, b=blocks[-1]: _clean(it, b.value, drop_share, marks), docs.schema)
+    last = sc.broadcast(next(blocks))
+    return out.mapInArrow(lambda it: _clean(it, last.value, drop_share, marks), docs.schema)
 
 
 def _with_marks(w: Words, hit: np.ndarray, marks: pa.Array) -> np.ndarray:
