@@ -26,21 +26,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm._scratch import Scratch
+from framelake.llm._scratch import Scratch, bounded
+from framelake.sources._bytes import open_at, seekable
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 4 << 20
 SAMPLE_BYTES = 512 << 10
 DICTIONARY_BYTES = 16 << 10
+#: Of a foreign archive's dictionary, at most.
+MOST_DICTIONARY = 64 << 20
+_STEP = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -87,35 +92,52 @@ def archive(records: list[bytes], level: int = 3) -> bytes:
     return b"".join(out)
 
 
-def frames(content: bytes) -> Iterator[bytes | WarcError]:
-    """The records of an archive, one for each frame."""
-    if len(content) < 8 or int.from_bytes(content[:4], "little") != DICTIONARY_MAGIC:
+def frames(content) -> Iterator[bytes | WarcError]:
+    """The records of an archive (bytes, or a file that is read as it goes), one for each frame."""
+    file = io.BytesIO(content) if isinstance(content, bytes) else content
+    head = file.read(8)
+    if len(head) < 8 or int.from_bytes(head[:4], "little") != DICTIONARY_MAGIC:
         raise WarcError("no dictionary frame at the beginning")
-    at = 8 + int.from_bytes(content[4:8], "little")
-    if at > len(content):
+    size = int.from_bytes(head[4:], "little")
+    if size > MOST_DICTIONARY:
+        raise WarcError(f"a dictionary frame of {size} bytes")
+    raw = file.read(size)
+    if len(raw) < size:
         raise WarcError("the dictionary frame is cut off")
-    raw = content[8:at]
     if raw[:4] == FRAME_MAGIC.to_bytes(4, "little"):
         raw = zstandard.ZstdDecompressor().decompress(raw)
     decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-    view = memoryview(content)
-    while at < len(content):
-        if int.from_bytes(content[at : at + 4], "little") != FRAME_MAGIC:
+    held, at = file.read(_STEP), 8 + size
+    while held:
+        if len(held) < 18:  # what a frame's header takes at most
+            held += file.read(_STEP)
+        if int.from_bytes(held[:4], "little") != FRAME_MAGIC:
             raise WarcError(f"no frame at byte {at}")
         one = decoder.decompressobj()
-        size = zstandard.frame_content_size(view[at : at + 18])
-        parts, to, step = [], at, 1 << 16
+        told = zstandard.frame_content_size(held[:18])
+        parts, used = [], 0
         try:
-            while not one.eof:
-                if to >= len(content):
+            while True:
+                parts.append(one.decompress(held))
+                used += len(held)
+                if one.eof:
+                    break
+                held = file.read(_STEP)
+                if not held:
                     raise WarcError("the last frame is cut off")
-                parts.append(one.decompress(view[to : to + step]))
-                to += step
         except zstandard.ZstdError as e:
             raise WarcError(f"the frame at byte {at}: {e}") from e
-        at = min(to, len(content)) - len(one.unused_data)
+        held = one.unused_data
+        at += used - len(held)
         found = b"".join(parts)
-        yield found if size in (-1, len(found)) else WarcError(f"a frame of {len(found)} bytes that tells {size}")
+        yield found if told in (-1, len(found)) else WarcError(f"a frame of {len(found)} bytes that tells {told}")
+        if not held:
+            held = file.read(_STEP)
+
+
+def _number(text: str) -> int | None:
+    """A header's number: ASCII digits alone, no more than lengths have."""
+    return int(text) if re.fullmatch("[0-9]{1,18}", text) else None
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -133,7 +155,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise WarcError(f"no {name}")
-    if not fields["content-length"].isdigit() or int(fields["content-length"]) != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
+    if _number(fields["content-length"]) != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {fields['content-length']}; {len(rest) - 4} bytes stand there")
     body = rest[:-4]
     if fields["warc-type"] == "response" and fields.get("warc-payload-digest", "") != f"sha1:{digest(body)}":
@@ -182,41 +204,71 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def _page(fields: dict[str, str], name: str) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d*)>", fields.get(name, ""))
-    return int(m[1]) if m and m[1] else None
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", fields.get(name, ""))
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
-def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row for each record of archives (name, content), validated; ``error`` tells what is wrong with one."""
+def _rows(name: str, content, with_payload: bool) -> Iterator[tuple]:
+    """What each record of an archive gives, one at a time."""
+    try:
+        for raw in frames(content):
+            try:
+                if isinstance(raw, WarcError):
+                    raise raw
+                fields, body = parse(raw)
+                revisit = fields["warc-type"] == "revisit"
+                size = _number(fields["x-payload-length"]) if "x-payload-length" in fields else len(body)
+                if size is None or not revisit and size != len(body):
+                    raise WarcError(f"X-Payload-Length is {size}; the payload has {len(body)} bytes")
+                yield _page(fields, "warc-record-id"), size, fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields["warc-type"], _page(fields, "warc-refers-to"), fields.get("warc-target-uri"), None if revisit or not with_payload else body.decode(), name, None
+            except (WarcError, UnicodeDecodeError) as e:
+                yield None, None, None, None, None, None, None, name, str(e)
+    except (WarcError, zstandard.ZstdError) as e:
+        yield None, None, None, None, None, None, None, name, str(e)
+
+
+def _told(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``ARCHIVE_BYTES`` of payload at most."""
     names = [x.split()[0] for x in READ.split(", ")]
     kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in READ.split(", ")]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[6] or "") + 100
+        if size >= ARCHIVE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-    def rows(name: str, content: bytes) -> Iterator[tuple]:
-        try:
-            for raw in frames(content):
-                try:
-                    if isinstance(raw, WarcError):
-                        raise raw
-                    fields, body = parse(raw)
-                    revisit = fields["warc-type"] == "revisit"
-                    size = int(fields.get("x-payload-length", len(body)))
-                    if not revisit and size != len(body):
-                        raise WarcError(f"X-Payload-Length is {size}; the payload has {len(body)} bytes")
-                    yield _page(fields, "warc-record-id"), size, fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields["warc-type"], _page(fields, "warc-refers-to"), fields.get("warc-target-uri"), None if revisit or not with_payload else body.decode(), name, None
-                except (WarcError, UnicodeDecodeError) as e:
-                    yield None, None, None, None, None, None, None, name, str(e)
-        except (WarcError, zstandard.ZstdError) as e:
-            yield None, None, None, None, None, None, None, name, str(e)
+
+def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
+    """A row for each record of archives (name, content), validated; ``error`` tells what is wrong with one."""
+    bounded(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
-                found = list(rows(name, content.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or [()] * len(names), kinds, strict=True)], names)
+                yield from _told(_rows(name, content.as_py() or b"", with_payload))
 
     return archives.select("name", "content").mapInArrow(run, READ)
 
 
+def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The same of archive files, one task each, read as they go; of stores that Spark alone knows, whole."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if not seekable(path):
+        return read(found.select(F.col("path").alias("name"), "content"), with_payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with open_at(name) as f:
+                    yield from _told(_rows(name, f, with_payload))
+
+    return found.select("path").repartition("path").mapInArrow(run, READ)
+
+
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """What the archives of ``pages`` hold, read back; a damaged record fails the query."""
     found = read(write(pages, least), with_payload=False)
