@@ -17,12 +17,13 @@ shorter) count as unlike (0), which keeps chance matches out.
 
 Defined results: null and empty texts both have the fingerprint ``0::``, and two
 of them are alike (1); an empty and another text are not (0). Texts that
-share a doc_id are ordered by their bytes. Columns other than doc_id and text are left out.
+share a doc_id are ordered by their xxhash64, descending; rows repeated whole are next to one another. Columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm._arrow import mix, powers, slices, utf8
+from framelake.llm._scratch import bounded
 
 MOST = 64
 RUN = 4
@@ -144,6 +146,7 @@ def likeness(first: list[str], second: list[str]) -> np.ndarray:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of each whole text, without any shuffle."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +157,20 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def _range_of(docs: DataFrame, partitions: int) -> tuple[Column, list[int]]:
-    """A number for the doc_id range of a row, ranges being of about equal numbers of rows; their bounds."""
+    """A number for a row's range of doc_id (or, without one, of hashes), ranges being of about equal numbers of rows; their bounds."""
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / partitions for k in range(1, partitions)], 0.2 / partitions))) if partitions > 1 else []
     cuts = [int(x) for x in bounds]
-    return F.coalesce(F.aggregate(F.array(*[F.lit(x).cast("long") for x in cuts]).cast("array<long>"), F.lit(0), lambda n, x: n + (F.col("doc_id") >= x).cast("int")), F.lit(-1)), cuts
+    # two levels of constant lists, so a row is held against about 2 sqrt(partitions) bounds
+    step = max(1, math.isqrt(len(cuts)))
+    array = lambda x: F.array(*map(F.lit, x)).cast("array<long>")
+    passed = lambda c: F.size(F.filter(c, lambda x: F.col("doc_id") >= x))
+    block = passed(array(cuts[step - 1 :: step]))
+    parts = F.array(*(array(cuts[k : k + step - 1]) for k in range(0, len(cuts) + 1, step))).cast("array<array<long>>")
+    known = block * step + passed(F.get(parts, block))
+    # rows without a doc_id come last, by descending hash: equal parts of the hashes' range
+    width = (1 << 64) // partitions + 1
+    none = -1 - F.floor((F.lit((1 << 63) - 1).cast("decimal(20,0)") - F.xxhash64("text").cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+    return F.when(F.col("doc_id").isNotNull(), known).otherwise(none), cuts
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -165,12 +178,13 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
     Rows are dealt by doc_id ranges; each range also gets a copy of the first
     row of the range after it (one row a range), so a range needs no other.
-    Null doc_ids come last. Each text is shuffled once, packed.
+    Null doc_ids come last, in ranges of their hashes. Each text is shuffled once, packed.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     part, _ = _range_of(rows.select("doc_id").where("doc_id IS NOT NULL"), partitions)
+    bounded(spark)
     rows = rows.withColumn("part", part)
     heads = rows.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"), "text")).alias("head")).select("part", "head.doc_id", "head.text")
     order = Window.orderBy(F.col("part").desc())
