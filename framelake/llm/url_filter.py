@@ -7,12 +7,14 @@ blocked seeds. Seeds are hosts of whose pages more than half are allowed, or
 blocked, by rules. A host is blocked if its share distrust / (trust +
 distrust) is above ``THRESHOLD``; a host that neither reaches is allowed.
 
-Edges come from absolute links in the pages' html, each weighted by its part of
+Edges come from absolute links in the pages' html (comments, scripts and styles aside), each weighted by its part of
 the source's links to other hosts; links within a host don't count. Mass at hosts without links
 returns to the seeds (by normalising at the end, which is the same). Both
 propagations run in one loop, whose state is a row for each seed-reachable host
-in the shared folder; one number a round comes to the driver. Pages of one host are
-counted before they are shuffled, and meet its verdict in ``SALTS`` parts.
+in the shared folder; two numbers a round come to the driver. It ends when what all ranks moved by is small and
+no host is new or has moved by much of its own rank, so long chains are followed to their ends. Pages of one host are
+counted before they are shuffled; the hosts of more than 1 / ``HOT`` of all pages (fewer than ``HOT``, so a bounded
+broadcast) meet their verdicts without a shuffle.
 
 Defined results: a url that is null or has no ``://`` has an empty host and
 path, no rule, and is allowed. Null html has no links. Repeated rows are judged
@@ -31,11 +33,16 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DAMPING = 0.85
 THRESHOLD = 0.5
 TOLERANCE = 1e-4
-SALTS = 16
+#: Of its rank, what any host's may still have moved by when propagation ends.
+SHARE = 0.01
+#: Of all pages, the part that makes a host's pages meet their verdict where they are.
+HOT = 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What a browser shows no links of.
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 #: Absolute links, and those that leave out the scheme alone; the group is the host.
-_LINK = r"""(?:href|HREF|src|SRC)\s*=\s*["']?\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+_LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
 def lower(c: Column) -> Column:
@@ -64,7 +71,8 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts."""
-    links = F.explode(F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(_LINK), F.lit(1))))
+    shown = F.when(F.col("html").contains("//"), F.regexp_replace("html", _HIDDEN, " ")).otherwise(F.lit(""))
+    links = F.explode(F.array_distinct(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(1))))
     return pages.where("url IS NOT NULL AND html IS NOT NULL").select(host_of(F.col("url")).alias("src"), links.alias("dst")).select("src", lower(F.col("dst")).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -79,10 +87,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
             flow = edges.join(now.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("weight") * F.col("rank")).alias("rank"))
             now = flow.unionByName(start.df.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         after = scratch.keep(now)
-        moved = after.df.join(ranks.df.withColumnRenamed("rank", "was"), ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+        # ranks grow from the seeds on, so a host that has one keeps it
+        was = F.coalesce("was", F.lit(0.0))
+        moved = after.df.join(ranks.df.withColumnRenamed("rank", "was"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("rank") - was)), F.count_if(F.abs(F.col("rank") - was) > SHARE * F.col("rank"))).first()
         ranks.drop()
         ranks = after
-        if moved <= tolerance:
+        if (moved[0] or 0.0) <= tolerance and not moved[1]:
             break
     whole = ranks.df.groupBy("kind").agg(F.sum("rank").alias("whole"))
     return ranks.df.join(whole, "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
@@ -96,6 +106,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     urls = urls.withColumn("rule", rule).withColumn("by_rule", verdict)
 
     hosts = urls.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
+    hosts = scratch.keep(hosts).df
     seeds = hosts.select("host", F.when(F.col("allowed") * 2 > F.col("n"), F.lit("trust")).when(F.col("blocked") * 2 > F.col("n"), F.lit("distrust")).alias("kind"), F.lit(1.0).alias("rank")).where("kind IS NOT NULL")
     links = scratch.keep(host_edges(pages)).df
     out = links.groupBy("src").agg(F.sum("n").alias("whole"))
@@ -104,9 +115,13 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     ranks = propagate(scratch.keep(edges).df, seeds, scratch)
 
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
-    known = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
-    known = scratch.keep(known.select("host", "trust", "distrust", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))).df
-    salted = urls.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    known = scratch.keep(ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))).df
+    # at most HOT hosts have more than that part of all pages: their verdicts go to the pages, whose other hosts are joined
+    whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = hosts.where(F.col("n") * HOT > whole).select("host").join(known, "host", "left").select(F.col("host").alias("hot"), F.struct(F.col("trust").alias("t"), F.col("distrust").alias("d")).alias("own"))
+    joined = urls.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
+    key = F.when(F.col("hot").isNull() & (F.col("host") != ""), F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id", "path").cast("string")))
+    joined = joined.withColumn("key", key).join(known.withColumnRenamed("host", "key"), "key", "left")
+    trust, distrust = F.coalesce(F.col("own.t"), "trust", F.lit(0.0)), F.coalesce(F.col("own.d"), "distrust", F.lit(0.0))
     by_host = F.when(distrust > threshold * (trust + distrust), F.lit("block")).otherwise(F.lit("allow"))
-    return salted.join(known, ["host", "salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
