@@ -3,12 +3,12 @@
 First the language family is predicted, then one-versus-one linear support
 vector machines separate the languages of that family by their votes (ties by the sum of the
 margins). Features are the square roots of counts of hashed byte 2- and
-3-grams of the whole text, in lower case and with everything but letters as
-one space, at unit length. The machines (squared hinge loss) are fitted by dual
+3-grams of the whole text, with A-Z in lower case and each run of other
+ASCII characters than letters as one space (bytes beyond ASCII stay), at unit length. The machines (squared hinge loss) are fitted by dual
 coordinate descent in numpy.
 
-What is learned from is bounded: about ``per_language`` documents of each
-language, chosen by a hash of doc_id, of those whose lang is not null and
+What is learned from is bounded: about ``per_language`` documents of each of the
+``languages`` with the most documents, chosen by a hash of doc_id, of those whose lang is not null and
 whose crc32(doc_id) mod 5 is not 0. Families are the fixed table below; a language
 that isn't there makes a family of its own.
 
@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._arrow import LOWER, slices, utf8
+from framelake.llm._scratch import bounded
 
 PER_LANGUAGE = 1000
+LANGUAGES = 200
 BUCKETS = 4096
 UNKNOWN = "und"
 _SLOPE = 3.0
@@ -162,14 +164,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on a bounded sample of the documents that aren't held out."""
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """Fit on a bounded sample of the documents that aren't held out: about ``per_language``
+    of each of the ``languages`` that have the most."""
     known = docs.select("doc_id", "text", F.col("lang").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").where(~held_out())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    often = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r.lang: r.n for r in often.collect()}
+    bounded(docs.sparkSession)
     if not counts:
         return Model([], {}, np.zeros((0, BUCKETS + 1), np.float32), {})
     share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))])
-    part = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")]
+    part = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,6 +197,7 @@ def judge(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarr
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The language of every whole text, without a shuffle."""
+    bounded(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +212,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
     """``docs`` without those of no language or a score below ``least``."""
+    bounded(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ embedding and filters are linear, their products are tabulated by bucket once
 trained, so judging a word is a few additions of table rows.
 
 Training is by Adam over minibatches. It takes at most ``MOST`` labelled rows of
-each label (the first by a hash of doc_id), of those whose crc32(doc_id) mod 5
+each label (the first by a hash of doc_id, and of those as many as have ``CHARS`` / 2 characters), of those whose crc32(doc_id) mod 5
 is not 0; labels, lang, source and doc_id are no inputs. Thresholds are calibrated on
 all labelled rows that aren't held out, at their own mix of labels: one for each language, as identified from the text
 itself, at the best F1, and the common one where a language has fewer than ``FEWEST`` rows of a label. Rows that
@@ -19,7 +19,8 @@ threshold of each language.
 Defined results: null and empty texts and those without words get the score of an empty
 text. Each row is judged by its text alone, so repeated rows get equal
 results. Rows of ``labels`` without a document, or with a null, are not
-learned from; a document labelled several times is learned from as often.
+learned from; a document labelled several times is fitted once for each label, and calibrated on as often;
+of rows that share a doc_id one (of the least hash) is fitted.
 Where there is nothing to learn from every score is next to 0. Columns other than doc_id and text are left out.
 """
 
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 
 from framelake.llm import langid
 from framelake.llm._arrow import LOWER, WORD_CHARS, Words, mix, slices, span_hashes, utf8, words
-from framelake.llm._scratch import Scratch
+from framelake.llm._scratch import Scratch, bounded
 
 MOST = 2000
+CHARS = 48_000_000
 BUCKETS = 1 << 15
 SIZE = 8
 FILTERS = 8
@@ -203,15 +205,28 @@ def _marked(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~langid.held_out()).select(F.col("doc_id").cast("long").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Fit | None:
-    """Fit on a bounded sample of rows that aren't held out; None where there are none."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS) -> Fit | None:
+    """Fit on a sample of rows that aren't held out, bounded in rows and in characters; None where there are none."""
     marked = _marked(labels)
     # of each label those first by hash: at most 2 * most rows, which are broadcast, so texts stay where they are
-    sample = [tuple(r) for v in (0, 1) for r in marked.where(F.col("toxic") == v).orderBy(F.xxhash64("labelled", F.lit(3)), "labelled").limit(most).collect()]
+    sample = [tuple(r) for v in (0, 1) for r in marked.where(F.col("toxic") == v).distinct().orderBy(F.xxhash64("labelled", F.lit(3)), "labelled").limit(most).collect()]
     if not sample:
         return None
     chosen = F.broadcast(docs.sparkSession.createDataFrame(sample, "labelled long, toxic int"))
-    known = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("labelled"))
+    known = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("labelled")).where("text IS NOT NULL")
+    bounded(docs.sparkSession)
+    # of rows that share a doc_id one is learned from, whatever their number; at most 2 * most texts are shuffled
+    known = known.groupBy("labelled", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("labelled").alias("doc_id"), "toxic", F.col("t.text").alias("text"))
+    known = Scratch(docs.sparkSession).keep(known).df
+    # long texts are cut by rows, in the order of the hash, to what the driver holds
+    room, own = {0: chars // 2, 1: chars // 2}, []
+    for r in known.select("doc_id", "toxic", F.length("text").alias("chars"), F.xxhash64("doc_id", F.lit(3)).alias("place")).orderBy("place", "doc_id").collect():
+        room[r.toxic] -= r.chars
+        if room[r.toxic] >= 0:
+            own.append((r.doc_id, r.toxic))
+    if not own:
+        return None
+    known = known.join(F.broadcast(docs.sparkSession.createDataFrame(own, "doc_id long, toxic int")), ["doc_id", "toxic"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,6 +328,7 @@ def assess(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The toxicity of every whole text, without a shuffle."""
+    bounded(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
