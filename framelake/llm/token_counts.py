@@ -16,7 +16,9 @@ Two transducers, both deterministic:
    it and its count relative to the present one. Of the tokens that end at a
    byte just one fits the last token before it (a pair fits if the merge
    rules leave it as it is), so the machine is deterministic. It is compiled
-   lazily, and emptied where it grows beyond ``MOST_STATES``.
+   lazily, and emptied where it grows beyond ``MOST_STATES``. Its states aren't bounded by the
+   vocabulary, so maps over all entry states can't be tabulated: long pieces compose
+   the count-annotated maps of their blocks from the one state that each is entered in.
 
 Special strings inside texts count as one token and part the text, which is
 the library's default. Defined results: null and empty texts have 0 tokens
@@ -37,10 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from framelake.llm._arrow import slices, span_hashes, utf8
+from framelake.llm._scratch import bounded
 
 LIMIT = 1024
 MOST_STATES = 200_000
 MOST_PIECES = 400_000
+#: Bytes of a piece whose count is remembered, at most, and of a block of longer ones.
+_SHORT, _BLOCK = 64, 16
 
 # Classes of characters; white space and apostrophes also look ahead.
 _L, _N, _P, _Q, _Q2, _Q3, _S_LAST, _S_MID, _W_LAST, _W_MID = range(10)
@@ -190,6 +195,8 @@ class Merger:
         self.states: dict[tuple, int] = {((-1, 0, 0),): 0}
         self.what: list[tuple] = [((-1, 0, 0),)]
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        #: Maps of blocks of bytes: (state, block) to (state, tokens emitted).
+        self.jumps: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def _spines(self, token: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         """What stands at the right and at the left end of a token as it is
@@ -268,22 +275,37 @@ class Merger:
             if len(self.counts) > MOST_PIECES:
                 self.counts.clear()
             state = found = 0
-            moves = self.moves
-            for b in piece:
-                move = moves[state].get(b)
-                if move is None:
-                    if len(self.what) > 2 * MOST_STATES:  # within one very long piece
-                        what = self.what[state]
-                        self._empty()
-                        self.what.append(what)
-                        self.moves.append({})
-                        self.states[what] = state = 1
-                        moves = self.moves
-                    move = self._compile(state, b)
-                state, emitted = move
-                found += emitted
-            if len(piece) <= 64:
+            if len(piece) <= _SHORT:
+                found = self._run(state, piece)[1]
                 self.counts[piece] = found
+            else:
+                for at in range(0, len(piece), _BLOCK):
+                    state, emitted = self._block(state, piece[at : at + _BLOCK])
+                    found += emitted
+        return found
+
+    def _run(self, state: int, piece: bytes) -> tuple[int, int]:
+        """The state after some bytes, and the tokens emitted on the way."""
+        found, moves = 0, self.moves
+        for b in piece:
+            move = moves[state].get(b)
+            if move is None:
+                move = self._compile(state, b)
+            state, emitted = move
+            found += emitted
+        return state, found
+
+    def _block(self, state: int, block: bytes) -> tuple[int, int]:
+        """The same of one block of a long piece, from its map where that was met before."""
+        found = self.jumps.get((state, block))
+        if found is None:
+            if len(self.what) > 2 * MOST_STATES or len(self.jumps) > MOST_PIECES:  # within one very long piece
+                what = self.what[state]
+                self._empty()
+                self.what.append(what)
+                self.moves.append({})
+                self.states[what] = state = 1
+            found = self.jumps[state, block] = self._run(state, block)
         return found
 
 
@@ -344,6 +366,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Bytes and tokens of every whole text, by the vocabulary file at ``path`` (the same on all executors)."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = merger(path)
