@@ -37,6 +37,7 @@ from framelake.llm._scratch import Scratch, Table
 WINDOW = 13
 BASE = 7
 
+_AT = "_repeat_at"
 _ROW = "h long, doc_id long, key long, at int"
 _NAMES = ["h", "doc_id", "key", "at"]
 
@@ -129,6 +130,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> tuple[Da
         repeated.drop()
         if held:
             held.drop()
+        if not last and not alive.df.take(1):
+            break  # no window repeats, so none of twice the length does
     return alive.df, alive
 
 
@@ -146,8 +149,11 @@ def _removed(w, lists: pa.Array, lo: int, hi: int, window: int) -> np.ndarray:
 
 def _with_repeats(docs: DataFrame, window: int, base: int) -> DataFrame:
     found, _ = repeats(docs, window, base)
-    found = found.select(F.col("doc_id").alias("_repeat_id"), F.col("key").alias("_repeat_key"), F.col("at").alias("_repeat_at"))
-    return docs.join(found, (F.col("doc_id").cast("long") == F.col("_repeat_id")) & (F.xxhash64("text") == F.col("_repeat_key")), "left").drop("_repeat_id", "_repeat_key")
+    names = [_AT, "_repeat_id", "_repeat_key"]
+    while set(names[1:]) & set(docs.columns):
+        names[1:] = [n + "_" for n in names[1:]]
+    found = found.select(F.col("at").alias(names[0]), F.col("doc_id").alias(names[1]), F.col("key").alias(names[2]))
+    return docs.join(found, (F.col("doc_id").cast("long") == F.col(names[1])) & (F.xxhash64("text") == F.col(names[2])), "left").drop(*names[1:])
 
 
 def report(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
@@ -155,7 +161,7 @@ def report(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("_repeat_at")
+            lists = batch.column(_AT)
             for lo, hi, data, offsets in slices(*utf8(batch.column("text"))):
                 w = words(data, offsets, NOT_SPACE)
                 gone = _removed(w, lists, lo, hi, window)
@@ -178,8 +184,8 @@ def clean(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, column = batch.column("_repeat_at"), batch.column("text")
-            batch = batch.drop_columns(["_repeat_at"])
+            lists, column = batch.column(batch.num_columns - 1), batch.column("text")  # the last column is the lists
+            batch = batch.select(list(range(batch.num_columns - 1)))
             if lists.null_count == len(lists):
                 yield batch
                 continue
