@@ -55,7 +55,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark)
+    scratch, before = Scratch(spark), None
     for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir)).df
+        after = scratch.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before, docs = after, after.df
     return docs
