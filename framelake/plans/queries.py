@@ -400,7 +400,7 @@ def temporal_mean_std(spark, d):
     return metrics.temporal(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), "label").withColumn("mean", r6("mean")).withColumn("std", r6("std"))
 
 
-@query(f"WITH {_V}, p AS (SELECT label, i, v[i] AS x FROM v, range(1, 65) t(i)), d AS (SELECT label, (i - 1) % 4 AS channel, i, stddev_pop(x) AS s FROM p GROUP BY 1, 2, 3) SELECT p.label, CAST((p.i - 1) % 4 AS INTEGER) AS channel, round(avg(p.x), 6) AS mean, round(stddev_pop(p.x), 6) AS std, round((SELECT avg(s) FROM d WHERE d.label = p.label AND d.channel = (p.i - 1) % 4), 6) AS temporal_std FROM p GROUP BY p.label, (p.i - 1) % 4")
+@query(f"WITH {_V}, p AS (SELECT label, i, v[i] AS x FROM v, range(1, 65) t(i)), d AS (SELECT label, (i - 1) % 4 AS channel, i, stddev_pop(x) AS s FROM p GROUP BY 1, 2, 3), e AS (SELECT label, channel, avg(s) AS s FROM d GROUP BY 1, 2) SELECT p.label, CAST((p.i - 1) % 4 AS INTEGER) AS channel, round(avg(p.x), 6) AS mean, round(stddev_pop(p.x), 6) AS std, round(any_value(e.s), 6) AS temporal_std FROM p JOIN e ON e.label = p.label AND e.channel = (p.i - 1) % 4 GROUP BY p.label, (p.i - 1) % 4")
 def channel_mean_std(spark, d):
     rows = metrics.channels(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), 4, "label")
     return rows.select("label", "channel", *(r6(c).alias(c) for c in ("mean", "std", "temporal_std")))
