@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import labels, windows
@@ -86,6 +86,13 @@ def same_shapes(frames: DataFrame, shape: str | None = None) -> None:
         raise ValueError(f"frames of several shapes: {sorted(map(str, found))}")
 
 
+def segmented(frames: DataFrame, k: int) -> DataFrame:
+    """``frames`` as k records of each recording, of equal length; what is left over at the end is dropped."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
+    rows = windows.segments(frames.withColumn("_n", n), F.col("_n"), k).drop("_n")
+    return rows.withColumn("record", F.concat_ws("#", "recording_id", F.col("segment").cast("string")))
+
+
 def split(rows: DataFrame, share: float = 0.8, seed: int = 0, key: str = "recording_id") -> tuple[DataFrame, DataFrame]:
     """Two parts of about ``share`` and the rest, by a hash of ``key`` and the seed: the same whatever the partitions."""
     place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)

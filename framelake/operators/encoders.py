@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,27 @@ def get_encoder(sensor_type: str) -> Encoder:
     return Encoder(sensor_type) if sensor_type in SENSORS else SurrogateEncoder(sensor_type)
 
 
+class FrameEncoder(Protocol):
+    """What an encoder of frames has."""
+
+    @property
+    def version(self) -> str: ...
+
+    def encode(self, frames: DataFrame) -> DataFrame: ...
+
+
+def load_trained(spark: SparkSession, sensor_type: str, folder: str) -> Encoder:
+    """The trained encoder of a sensor from ``folder``/<sensor>_v1.0; FileNotFoundError where there is none."""
+    if sensor_type not in list_encoders():
+        raise FileNotFoundError(f"no encoder for {sensor_type}")
+    path = f"{folder.rstrip('/')}/{sensor_type}_v1.0"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
+        raise FileNotFoundError(path)
+    return (_registry.get(sensor_type) or Encoder).load(spark, path, sensor_type)
+
+
 def method_tag(kind: str, version: str, sensor: str) -> str:
     return f"unified/{kind}/{version}/{sensor}"
 

@@ -402,14 +402,14 @@ def temporal_mean_std(spark, d):
 
 @query(f"WITH {_V}, p AS (SELECT label, i, v[i] AS x FROM v, range(1, 65) t(i)), d AS (SELECT label, (i - 1) % 4 AS channel, i, stddev_pop(x) AS s FROM p GROUP BY 1, 2, 3), e AS (SELECT label, channel, avg(s) AS s FROM d GROUP BY 1, 2) SELECT p.label, CAST((p.i - 1) % 4 AS INTEGER) AS channel, round(avg(p.x), 6) AS mean, round(stddev_pop(p.x), 6) AS std, round(any_value(e.s), 6) AS temporal_std FROM p JOIN e ON e.label = p.label AND e.channel = (p.i - 1) % 4 GROUP BY p.label, (p.i - 1) % 4")
 def channel_mean_std(spark, d):
-    rows = metrics.channels(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), 4, "label")
+    rows = metrics.channel_statistics(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), 4, "label")
     return rows.select("label", "channel", *(r6(c).alias(c) for c in ("mean", "std", "temporal_std")))
 
 
-@query(f"WITH {_V}, c AS (SELECT vec_id, ((i - 1) // 8) // 2 * 4 + ((i - 1) % 8) // 2 AS cell, avg(v[i]) AS x FROM v, range(1, 65) t(i) GROUP BY 1, 2), a AS (SELECT vec_id, CAST(cell AS INTEGER) AS at, x FROM c WHERE cell < 10 UNION ALL SELECT vec_id, 10, avg(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1 UNION ALL SELECT vec_id, 11, stddev_pop(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1) SELECT vec_id, at, round(x, 6) AS x FROM a")
+@query(f"WITH {_V}, c AS (SELECT vec_id, ((i - 1) // 8) // 2 * 4 + ((i - 1) % 8) // 2 AS cell, avg(v[i]) AS x FROM v, range(1, 65) t(i) GROUP BY 1, 2), a AS (SELECT vec_id, CAST(cell AS INTEGER) AS place, x FROM c WHERE cell < 10 UNION ALL SELECT vec_id, 10, avg(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1 UNION ALL SELECT vec_id, 11, stddev_pop(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1) SELECT vec_id, place, round(x, 6) AS x FROM a")
 def grid_summary(spark, d):
     rows = _vectors(spark, d).select(F.col("vec_id").alias("recording_id"), F.lit(0).alias("frame_idx"), F.col("embedding").cast("array<double>").alias("values"))
-    return metrics.cell_summary(rows, 8, 8, 4, 4).select(F.col("recording_id").alias("vec_id"), F.posexplode("features").alias("at", "x")).withColumn("x", r6("x"))
+    return metrics.cell_summary(rows, 8, 8, 4, 4).select(F.col("recording_id").alias("vec_id"), F.posexplode("features").alias("place", "x")).withColumn("x", r6("x"))
 
 
 @query("SELECT event_type, CAST(least(floor(value / (256.0 / 32)), 31) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM events WHERE value >= 0 AND value <= 256 GROUP BY 1, 2")
@@ -475,10 +475,10 @@ def recording_checksum(spark, d):
     return integrity.checksums(f)
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(count(*) AS BIGINT) AS n_frames, [CAST(1 AS BIGINT)] AS shape, 'uint8' AS dtype, round(min(ts_s), 6) AS first_s, round(max(ts_s), 6) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), '' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1")
+@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(count(*) AS BIGINT) AS n_frames, '1' AS shape, 'uint8' AS dtype, round(min(ts_s), 6) AS first_s, round(max(ts_s), 6) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), '' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1")
 def recorder_finalize(spark, d):
     f = frames(spark, d).withColumns({"payload": F.col("event_id").cast("string").cast("binary"), "shape": F.array(F.lit(1)).cast("array<bigint>"), "dtype": F.lit("uint8")})
-    return recorder.finalized(f, with_times=False).select("recording_id", "n_frames", "shape", "dtype", r6("first_s").alias("first_s"), r6("last_s").alias("last_s"), "checksum")
+    return recorder.finalized(f, with_times=False).select("recording_id", "n_frames", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), "dtype", r6("first_s").alias("first_s"), r6("last_s").alias("last_s"), "checksum")
 
 
 @query("SELECT l_orderkey AS recording_id, CAST((l_linenumber - 1) // 2 AS BIGINT) AS \"window\", CAST(count(*) AS BIGINT) AS n_frames, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1, 2")
