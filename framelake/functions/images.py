@@ -57,7 +57,9 @@ def grid_features(frames: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for payload, shape, dtype in zip(batch.column("payload"), batch.column("shape").to_pylist(), batch.column("dtype").to_pylist(), strict=True):
+            for payload, shape, dtype in zip(
+                batch.column("payload"), batch.column("shape").to_pylist(), batch.column("dtype").to_pylist(), strict=True
+            ):
                 out.append(grid(np.frombuffer(payload.as_buffer(), np.dtype(dtype)).reshape(1, *shape), size)[0].astype(np.float64))
             yield batch.append_column("features", pa.array(out, pa.list_(pa.float64())))
 
@@ -151,11 +153,21 @@ def frame_images(frames: DataFrame, largest: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [to_image(np.frombuffer(p.as_buffer(), np.dtype(d)).reshape(s), largest) for p, s, d in zip(batch.column("payload"), batch.column("shape").to_pylist(), batch.column("dtype").to_pylist(), strict=True)]
+            made = [
+                to_image(np.frombuffer(p.as_buffer(), np.dtype(d)).reshape(s), largest) for p, s,
+                d in zip(batch.column("payload"), batch.column("shape").to_pylist(), batch.column("dtype").to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("recording_id"), batch.column("frame_idx"), pa.array([m for _, m in made], pa.string()), *(pa.array([i.shape[k] for i, _ in made], pa.int32()) for k in (0, 1)), pa.array([i.tobytes() for i, _ in made], pa.binary())],
+                [
+                    batch.column("recording_id"), batch.column("frame_idx"), pa.array([m for _, m in made], pa.string()),
+                    *(pa.array([i.shape[k] for i, _ in made], pa.int32()) for k in (0, 1)),
+                    pa.array([i.tobytes() for i, _ in made], pa.binary())
+                ],
                 ["recording_id", "frame_idx", "mode", "height", "width", "pixels"],
             )
 
-    ready = frames.select(F.col("recording_id").cast("string").alias("recording_id"), F.col("frame_idx").cast("long").alias("frame_idx"), "payload", "shape", "dtype")
+    ready = frames.select(
+        F.col("recording_id").cast("string").alias("recording_id"), F.col("frame_idx").cast("long").alias("frame_idx"), "payload",
+        "shape", "dtype"
+    )
     return ready.mapInArrow(run, "recording_id string, frame_idx long, mode string, height int, width int, pixels binary")

@@ -64,7 +64,10 @@ def signals(frames: DataFrame, at: int, values: str = "values", index: str = "fr
     return frame(frames, at, index).select("recording_id", F.posexplode(values).alias("channel", "x"))
 
 
-def trace(frames: DataFrame, channels: list[int] | None = None, max_frames: int | None = None, values: str = "values", time: str | None = "ts_s") -> DataFrame:
+def trace(
+    frames: DataFrame, channels: list[int] | None = None, max_frames: int | None = None, values: str = "values",
+    time: str | None = "ts_s"
+) -> DataFrame:
     """(recording_id, frame_idx, t, picked): channels in the order asked for, repeats and all; negative ones
     count from the end, and one that isn't there is an error. t is the time, or else the frame's index."""
     rows = frames if max_frames is None else frames.where(F.col("frame_idx") < max_frames)

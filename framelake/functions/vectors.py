@@ -50,7 +50,12 @@ def to_uint8(v: Column) -> Column:
 
     def scaled(m: Column) -> Column:
         span = m["high"] - m["low"]
-        return F.transform(v, lambda x: F.when(span < 1e-9, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), F.rint((x.cast("double") - m["low"]) / span * 255).cast("int")))))
+        return F.transform(
+            v,
+            lambda x: F.when(span < 1e-9, F.lit(0)).otherwise(
+                F.greatest(F.lit(0), F.least(F.lit(255), F.rint((x.cast("double") - m["low"]) / span * 255).cast("int")))
+            )
+        )
 
     return let(ends, scaled)
 
@@ -83,7 +88,10 @@ def sums(rows: DataFrame, vector: str, *by: str, unit: bool = False) -> DataFram
 
         def told() -> pa.Table:
             keys = [pa.array([k[i] for k in held], t.type) for i, t in enumerate(fields)]
-            return pa.RecordBatch.from_arrays([*keys, pa.array([s for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())], [*by, "_sum", "_n"])
+            return pa.RecordBatch.from_arrays(
+                [*keys, pa.array([s for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())],
+                [*by, "_sum", "_n"]
+            )
 
         fields: list = []
         for batch in batches:
@@ -114,7 +122,11 @@ def sums(rows: DataFrame, vector: str, *by: str, unit: bool = False) -> DataFram
 
     ready = rows.select(*by, F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
     parts = ready.mapInArrow(run, schema)
-    return parts.select(*by, F.posexplode("_sum").alias("dim", "x"), F.col("_n").alias("n")).groupBy(*by, "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return (
+        parts.select(*by, F.posexplode("_sum").alias("dim", "x"), F.col("_n").alias("n"))
+        .groupBy(*by, "dim")
+        .agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    )
 
 
 def _gathered(entries: DataFrame, x: Column, name: str, *by: str) -> DataFrame:

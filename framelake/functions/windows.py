@@ -25,7 +25,10 @@ def window_count(n: Column, size: int, stride: int | None = None, start: int = 0
     return F.ceil(span / stride).cast("long")
 
 
-def windows(frames: DataFrame, size: int, stride: int | None = None, start: int = 0, stop: int | None = None, drop_last: bool = False, key: str = "recording_id", index: str = "frame_idx") -> DataFrame:
+def windows(
+    frames: DataFrame, size: int, stride: int | None = None, start: int = 0, stop: int | None = None, drop_last: bool = False,
+    key: str = "recording_id", index: str = "frame_idx"
+) -> DataFrame:
     """Each frame once for each window it belongs to, with ``window`` and ``window_start``.
 
     Membership is arithmetic on the frame's index, so there is no join; a
@@ -46,7 +49,13 @@ def windows(frames: DataFrame, size: int, stride: int | None = None, start: int
     else:
         first = F.greatest(F.lit(0), F.ceil((at - (size - 1)) / stride)).cast("long")
         last = F.floor(at / stride).cast("long")
-        rows = rows.withColumn("_first", first).withColumn("_last", last).where("_first <= _last").withColumn("window", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+        rows = (
+            rows.withColumn("_first", first)
+            .withColumn("_last", last)
+            .where("_first <= _last")
+            .withColumn("window", F.explode(F.sequence("_first", "_last")))
+            .drop("_first", "_last")
+        )
     rows = rows.withColumn("window_start", F.col("window") * stride + start)
     if drop_last:
         rows = rows.where(F.col("window_start") + size <= F.col("_end")).drop("_end")
@@ -68,6 +77,13 @@ def locate(counts: DataFrame, order: str, count: str = "n_windows") -> DataFrame
     n = counts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     parts = fixed(counts.repartitionByRange(int(n), order).withColumn("_part", F.spark_partition_id()))
     whole = parts.groupBy("_part").agg(F.sum(count).alias("_n"))  # a row for each range
-    before = whole.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    before = whole.withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).drop("_n")
     inside = F.coalesce(F.sum(count).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("_inside", inside).join(before, "_part").withColumn("first_index", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside")
+    return (
+        parts.withColumn("_inside", inside)
+        .join(before, "_part")
+        .withColumn("first_index", (F.col("_before") + F.col("_inside")).cast("long"))
+        .drop("_part", "_before", "_inside")
+    )

@@ -74,7 +74,10 @@ def nearest(rows: DataFrame, means: DataFrame, key: str, vector: str = "embeddin
                 if batch.num_rows and len(m):
                     near = _units(batch.column("v")) @ m.T
                     best = near.argmax(axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column("k"), names.take(pa.array(best)), pa.array(near[np.arange(len(best)), best])], ["k", "predicted", "similarity"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("k"), names.take(pa.array(best)), pa.array(near[np.arange(len(best)), best])],
+                        ["k", "predicted", "similarity"]
+                    )
 
         parts.append(ready.mapInArrow(run, f"k {kinds[0]}, predicted {kinds[1]}, similarity double"))
     return _best(parts, "k").withColumnRenamed("k", key)
@@ -87,7 +90,9 @@ def leave_one_out(rows: DataFrame, key: str, vector: str = "embedding", label: s
     """
     kind = to_arrow_schema(rows.select(label).schema).field(0).type
     kinds = dict(rows.select(F.col(key).alias("k"), F.col(label).alias("l")).dtypes)
-    ready = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND l IS NOT NULL")
+    ready = rows.select(
+        F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v")
+    ).where("v IS NOT NULL AND l IS NOT NULL")
     parts = []
     for found in _blocks(vectors.sum_vectors(rows.where(F.col(label).isNotNull()), vector, label, unit=True), label):
         names, n = pa.array([r[label] for r in found]).cast(kind), np.array([r["n"] for r in found], float)
@@ -107,7 +112,10 @@ def leave_one_out(rows: DataFrame, key: str, vector: str = "embedding", label: s
                 mean = rest / np.maximum(many, 1)[:, None]
                 near[line, own] = np.where(many > 0, (u[line] * mean).sum(axis=1) / (np.linalg.norm(mean, axis=1) + 1e-12), -np.inf)
                 best = near.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), names.take(pa.array(best)), pa.array(near[np.arange(len(best)), best])], ["k", "l", "predicted", "similarity"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k"), batch.column("l"), names.take(pa.array(best)), pa.array(near[np.arange(len(best)), best])],
+                    ["k", "l", "predicted", "similarity"]
+                )
 
         parts.append(ready.mapInArrow(run, f"k {kinds['k']}, l {kinds['l']}, predicted {kinds['l']}, similarity double"))
     return _best(parts, "k", "l").select(F.col("k").alias(key), F.col("l").alias(label), "predicted")

@@ -19,7 +19,11 @@ class WindowedDataset:
     ``recordings`` alone; frames are read when windows are.
     """
 
-    def __init__(self, frames: DataFrame, recordings: DataFrame, window_size: int, stride: int | None = None, *, label: str = "label", start: int = 0, stop: int | None = None, drop_last: bool = False, transform: Callable[[Column], Column] | None = None, target_transform: Callable[[Column], Column] | None = None, check_shapes: bool = False) -> None:
+    def __init__(
+        self, frames: DataFrame, recordings: DataFrame, window_size: int, stride: int | None = None, *, label: str = "label",
+        start: int = 0, stop: int | None = None, drop_last: bool = False, transform: Callable[[Column], Column] | None = None,
+        target_transform: Callable[[Column], Column] | None = None, check_shapes: bool = False
+    ) -> None:
         self.size, self.stride = windows.checked(window_size, stride)
         self.bounds = {"start": start, "stop": stop, "drop_last": drop_last}
         self.frames, self.label, self.transform, self.target_transform = frames, label, transform, target_transform
@@ -47,7 +51,9 @@ class WindowedDataset:
         x = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "values"))), lambda e: e["values"])
         grouped = rows.groupBy("recording_id", "window").agg((self.transform(x) if self.transform else x).alias("x"))
         y = F.col("y") if self.target_transform is None else self.target_transform(F.col("y"))
-        return grouped.join(self.sources.select("recording_id", "first_index", y.alias("y")), "recording_id").select((F.col("first_index") + F.col("window")).alias("index"), "recording_id", "window", "y", "x")
+        return grouped.join(self.sources.select("recording_id", "first_index", y.alias("y")), "recording_id").select(
+            (F.col("first_index") + F.col("window")).alias("index"), "recording_id", "window", "y", "x"
+        )
 
     def __getitem__(self, index: int) -> tuple[np.ndarray, float]:
         n = len(self)
@@ -57,7 +63,11 @@ class WindowedDataset:
         source = self.sources.where((F.col("first_index") <= at) & (F.col("first_index") + F.col("n_windows") > at)).first()
         first = max(0, self.bounds["start"]) + (at - source.first_index) * self.stride
         end = first + self.size if self.bounds["stop"] is None else min(first + self.size, self.bounds["stop"])
-        rows = self.frames.where((F.col("recording_id") == source.recording_id) & (F.col("frame_idx") >= first) & (F.col("frame_idx") < end)).orderBy("frame_idx").collect()
+        rows = (
+            self.frames.where((F.col("recording_id") == source.recording_id) & (F.col("frame_idx") >= first) & (F.col("frame_idx") < end))
+            .orderBy("frame_idx")
+            .collect()
+        )
         x, y = np.array([r["values"] for r in rows]), source.y
         if self.transform is not None or self.target_transform is not None:
             one = self.windows().where(F.col("index") == at).first()
@@ -99,7 +109,11 @@ def split(rows: DataFrame, share: float = 0.8, seed: int = 0, key: str = "record
     return rows.where(place < share), rows.where(place >= share)
 
 
-def frame_batches(frames: DataFrame, recordings: DataFrame, label: str | None = None, size: int = 32, kind: str = "float", shuffle: int | None = None, transform: Callable[[Column], Column] | None = None, target_transform: Callable[[Column], Column] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+def frame_batches(
+    frames: DataFrame, recordings: DataFrame, label: str | None = None, size: int = 32, kind: str = "float",
+    shuffle: int | None = None, transform: Callable[[Column], Column] | None = None,
+    target_transform: Callable[[Column], Column] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """(x, y) of ``size`` frames at a time as arrays: x cast to ``kind``, y the label's class, number or hash
     (strings by `labels.hash_code`) for every frame. A tensor takes such an array as it is. Partitions come
     to the driver one at a time."""

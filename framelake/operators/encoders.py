@@ -17,7 +17,10 @@ from framelake.functions.images import channel_grid, grid_features
 from framelake.operators import linalg
 
 # Sensors with an encoder, their modality and embedding size: fixed values.
-SENSORS = {"GelSight": ("imaging", 256), "DIGIT": ("imaging", 256), "CoroCapacitive": ("dynamic", 128), "BioTac": ("dynamic", 128), "TacTip": ("dynamic", 128)}
+SENSORS = {
+    "GelSight": ("imaging", 256), "DIGIT": ("imaging", 256), "CoroCapacitive": ("dynamic", 128), "BioTac": ("dynamic", 128),
+    "TacTip": ("dynamic", 128)
+}
 DEFAULT = ("dynamic", 128)
 IMAGING = frozenset({"GelSight", "GelSight_Mini", "GelSight_Wedge", "DIGIT", "DIGIT_v2"})
 IMAGES = frozenset({"imaging"})
@@ -106,7 +109,11 @@ class Encoder:
     def fit(self, frames: DataFrame, label: str = "label", record: str = "recording_id", evaluate: bool = True) -> Encoder:
         """Whitened and class-aligned; ``evaluate`` also scores it without each record in turn, which
         takes scans of all frames for every ``FOLDS`` records."""
-        rows = self.features(frames).select(F.col(record).alias("record"), F.coalesce(F.col(label).cast("string"), F.lit("unknown")).alias("label"), "features").cache()
+        rows = (
+            self.features(frames)
+            .select(F.col(record).alias("record"), F.coalesce(F.col(label).cast("string"), F.lit("unknown")).alias("label"), "features")
+            .cache()
+        )
         m = linalg.moments(rows, "features")
         classes, scatter = linalg.class_scatter(rows, "features", "label", m)
         self.mean, self.w = m.mean, aligned(m, classes, scatter)
@@ -145,7 +152,10 @@ class Encoder:
     def save(self, spark: SparkSession, path: str) -> None:
         if not self.trained:
             raise ValueError("nothing is fitted yet")
-        spark.createDataFrame([(self.sensor_type, self.version, self.size, self.mean.tolist(), self.w.ravel().tolist(), json.dumps(self.report))], "sensor_type string, version string, embedding_dim int, mean array<double>, w array<double>, report string").coalesce(1).write.mode("overwrite").parquet(path)
+        spark.createDataFrame(
+            [(self.sensor_type, self.version, self.size, self.mean.tolist(), self.w.ravel().tolist(), json.dumps(self.report))],
+            "sensor_type string, version string, embedding_dim int, mean array<double>, w array<double>, report string"
+        ).coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, sensor_type: str) -> Encoder:
@@ -163,7 +173,10 @@ def shared_force(frames: DataFrame, modality: str, size: int = 128) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [channel_grid(np.frombuffer(p.as_buffer(), np.dtype(d)).reshape(1, *s), size)[0] for p, s, d in zip(batch.column("payload"), batch.column("shape").to_pylist(), batch.column("dtype").to_pylist(), strict=True)]
+            cells = [
+                channel_grid(np.frombuffer(p.as_buffer(), np.dtype(d)).reshape(1, *s), size)[0] for p, s,
+                d in zip(batch.column("payload"), batch.column("shape").to_pylist(), batch.column("dtype").to_pylist(), strict=True)
+            ]
             yield batch.append_column("embedding", pa.array(cells, pa.list_(pa.float32())))
 
     return frames.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", embedding array<float>")
@@ -204,9 +217,14 @@ def _fold_means(rows: DataFrame, folds: dict[str, tuple[np.ndarray, np.ndarray]]
                 np.add.at(total[k], own[keep], _project(x[keep], mean, w))
                 n[k] += np.bincount(own[keep], minlength=len(at))
         k, c = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(list(total[k, c]), pa.list_(pa.float64())), pa.array(n[k, c])], ["fold", "class", "total", "n"])
-
-    parts = rows.mapInArrow(run, "fold int, class int, total array<double>, n double").select("fold", "class", F.posexplode("total").alias("dim", "x"), "n")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(list(total[k, c]), pa.list_(pa.float64())), pa.array(n[k, c])],
+            ["fold", "class", "total", "n"]
+        )
+
+    parts = rows.mapInArrow(run, "fold int, class int, total array<double>, n double").select(
+        "fold", "class", F.posexplode("total").alias("dim", "x"), "n"
+    )
     out = np.zeros((len(folds), len(classes), size))
     for r in parts.groupBy("fold", "class", "dim").agg((F.sum("x") / F.sum("n")).alias("x")).toLocalIterator():
         out[r["fold"], r["class"], r["dim"]] = r["x"]
@@ -292,7 +310,9 @@ class CrossModalEncoder:
     def fitted(self) -> bool:
         return bool(self.w)
 
-    def fit(self, imaging: DataFrame, dynamic: DataFrame, record: str = "recording_id", label: str = "label", vector: str = "features") -> CrossModalEncoder:
+    def fit(
+        self, imaging: DataFrame, dynamic: DataFrame, record: str = "recording_id", label: str = "label", vector: str = "features"
+    ) -> CrossModalEncoder:
         """Both have one row a frame; records are mean-pooled first, and means are over records."""
         sides, pooled = {"imaging": imaging, "dynamic": dynamic}, {}
         centres: dict[str, tuple[list, np.ndarray]] = {}

@@ -31,20 +31,31 @@ def checksums(frames: DataFrame, key: str = "recording_id", payload: str = "payl
                     now, held = name, hashlib.sha256()
                 if data.is_valid:
                     held.update(data.as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], ["k", "checksum"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], ["k", "checksum"]
+            )
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([held.hexdigest()])], ["k", "checksum"])
 
     rows = frames.select(F.col(key).cast("string").alias("k"), F.col(index).alias("i"), F.col(payload).cast("binary").alias("p"))
     kind = frames.schema[key].dataType.simpleString()
-    return rows.repartition("k").sortWithinPartitions("k", "i").select("k", "p").mapInArrow(run, "k string, checksum string").select(F.col("k").cast(kind).alias(key), "checksum")
+    return (
+        rows.repartition("k")
+        .sortWithinPartitions("k", "i")
+        .select("k", "p")
+        .mapInArrow(run, "k string, checksum string")
+        .select(F.col("k").cast(kind).alias(key), "checksum")
+    )
 
 
 def verify(frames: DataFrame, recordings: DataFrame) -> DataFrame:
     """(recording_id, stored_checksum, checksum, ok); without a stored checksum a directory is ok."""
     found = recordings.select("recording_id", "format", "stored_checksum").join(checksums(frames), "recording_id", "left")
     missing = F.coalesce(F.col("stored_checksum"), F.lit("")) == ""
-    return found.withColumn("ok", F.when(missing, F.col("format") == "directory").otherwise(F.coalesce(F.col("stored_checksum") == F.col("checksum"), F.lit(False))))
+    return found.withColumn(
+        "ok",
+        F.when(missing, F.col("format") == "directory").otherwise(F.coalesce(F.col("stored_checksum") == F.col("checksum"), F.lit(False)))
+    )
 
 
 def verified(frames: DataFrame, recordings: DataFrame) -> None:
@@ -79,7 +90,11 @@ def lineage(recordings: DataFrame) -> DataFrame:
 
     Known paths are joined end to end, so reach doubles each round, until a round adds no pair; cycles end likewise.
     """
-    edges = recordings.select(F.col("provenance.file_hash").alias("file_hash"), F.col("provenance.derived_from").alias("ancestor")).where("file_hash <> '' AND ancestor IS NOT NULL").distinct()
+    edges = (
+        recordings.select(F.col("provenance.file_hash").alias("file_hash"), F.col("provenance.derived_from").alias("ancestor"))
+        .where("file_hash <> '' AND ancestor IS NOT NULL")
+        .distinct()
+    )
     out = edges.withColumn("depth", F.lit(1))
     out = fixed(out)
     n, before = out.count(), 0

@@ -44,14 +44,20 @@ def frames_from_events(spark, d):
 def _window_query(size, stride, start=0, stop=None, drop_last=False):
     def run(spark, d):
         rows = windows.windows(frames(spark, d), size, stride, start, stop, drop_last)
-        return rows.groupBy("recording_id", "window", "window_start").agg(F.count(F.lit(1)).alias("n_frames"), F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"), r6(F.avg("value")).alias("mean_value"))
+        return rows.groupBy("recording_id", "window", "window_start").agg(
+            F.count(F.lit(1)).alias("n_frames"), F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"),
+            r6(F.avg("value")).alias("mean_value")
+        )
 
     end = "n" if stop is None else f"least(n, {stop})"
     count = f"CASE WHEN span < {size} THEN 0 ELSE (span - {size}) // {stride} + 1 END" if drop_last else f"(span + {stride - 1}) // {stride}"
-    sql = f"""WITH {FRAMES_SQL}, r AS (SELECT recording_id, greatest({end} - {start}, 0) AS span FROM (SELECT recording_id, count(*) AS n FROM f GROUP BY 1)),
+    sql = f"""WITH {FRAMES_SQL}, r AS (SELECT recording_id, greatest({end} - {start}, 0) AS span FROM (SELECT recording_id, count(*) AS n
+  FROM f GROUP BY 1)),
     w AS (SELECT recording_id, unnest(range(0, {count})) AS j, span FROM r)
     SELECT w.recording_id, CAST(j AS BIGINT) AS "window", CAST(j * {stride} + {start} AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS n_frames, min(ts_s) AS first_s, max(ts_s) AS last_s, round(avg(value), 6) AS mean_value
-    FROM w JOIN f ON f.recording_id = w.recording_id AND f.frame_idx >= j * {stride} + {start} AND f.frame_idx < least(j * {stride} + {size}, span) + {start} GROUP BY ALL"""
+    FROM w
+  JOIN f ON f.recording_id = w.recording_id AND f.frame_idx >= j * {stride} + {start} AND f.frame_idx < least(j * {stride} + {size}, span) + {start}
+  GROUP BY ALL"""
     return run, sql
 
 
@@ -70,10 +76,14 @@ def _lengths(spark, d) -> DataFrame:
 
 
 @query("""SELECT user_id AS recording_id, CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) / 8.0) AS BIGINT) AS sliding,
-  CAST(CASE WHEN count(*) < 16 THEN 0 ELSE (count(*) - 16) // 8 + 1 END AS BIGINT) AS complete, CAST(ceil(greatest(least(count(*), 40) - 5, 0) / 7.0) AS BIGINT) AS bounded FROM events GROUP BY 1""")
+  CAST(CASE WHEN count(*) < 16 THEN 0 ELSE (count(*) - 16) // 8 + 1 END AS BIGINT) AS complete, CAST(ceil(greatest(least(count(*), 40) - 5, 0) / 7.0) AS BIGINT) AS bounded
+  FROM events GROUP BY 1""")
 def window_counts(spark, d):
     n = F.col("n")
-    return _lengths(spark, d).select("recording_id", "n", windows.window_count(n, 16, 8).alias("sliding"), windows.window_count(n, 16, 8, drop_last=True).alias("complete"), windows.window_count(n, 10, 7, 5, 40).alias("bounded"))
+    return _lengths(spark, d).select(
+        "recording_id", "n", windows.window_count(n, 16, 8).alias("sliding"),
+        windows.window_count(n, 16, 8, drop_last=True).alias("complete"), windows.window_count(n, 10, 7, 5, 40).alias("bounded")
+    )
 
 
 @query("SELECT CAST(sum(CAST(ceil(n / 8.0) AS BIGINT)) AS BIGINT) AS n_windows FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
@@ -88,31 +98,55 @@ def window_locate(spark, d):
 
 
 @query(f"""WITH {FRAMES_SQL}, r AS (SELECT recording_id, count(*) AS n, min(event_type) AS label FROM f GROUP BY 1), c AS (SELECT *, dense_rank() OVER (ORDER BY label) AS y, (n + 7) // 8 AS n_windows FROM r),
-  g AS (SELECT *, coalesce(sum(n_windows) OVER (ORDER BY recording_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM c), w AS (SELECT *, unnest(range(0, n_windows)) AS j FROM g)
-  SELECT CAST(first + j AS BIGINT) AS "index", w.recording_id, CAST(j AS BIGINT) AS "window", CAST(y AS BIGINT) AS y, CAST(count(*) AS BIGINT) AS n_frames, round(sum(value), 4) AS total FROM w JOIN f ON f.recording_id = w.recording_id AND frame_idx >= j * 8 AND frame_idx < j * 8 + 16 GROUP BY 1, 2, 3, 4""")
+  g AS (SELECT *, coalesce(sum(n_windows) OVER (ORDER BY recording_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM c), w AS (SELECT *, unnest(range(0, n_windows)) AS j FROM g)
+  SELECT CAST(first + j AS BIGINT) AS "index", w.recording_id, CAST(j AS BIGINT) AS "window", CAST(y AS BIGINT) AS y, CAST(count(*) AS BIGINT) AS n_frames, round(sum(value), 4) AS total
+  FROM w JOIN f ON f.recording_id = w.recording_id AND frame_idx >= j * 8 AND frame_idx < j * 8 + 16 GROUP BY 1, 2, 3, 4""")
 def labelled_windows(spark, d):
     """Windows of all recordings with their global index and their label's class."""
     f = frames(spark, d).withColumn("values", F.array("value"))
     recordings = f.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_frames"), F.min("event_type").alias("label"))
     rows = WindowedDataset(f, recordings, 16, 8).windows()
-    return rows.select("index", "recording_id", "window", "y", F.size("x").cast("long").alias("n_frames"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]), 4).alias("total"))
+    return rows.select(
+        "index", "recording_id", "window", "y", F.size("x").cast("long").alias("n_frames"),
+        F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v[0]), 4).alias("total")
+    )
 
 
-@query(f"""WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx // 16 AS BIGINT) AS "window", min(ts_s) AS first_s, max(ts_s) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1, 2""")
+@query(
+    f"""
+    WITH {FRAMES_SQL}
+    SELECT recording_id, CAST(frame_idx // 16 AS BIGINT) AS "window", min(ts_s) AS first_s, max(ts_s) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY frame_idx)) AS checksum
+    FROM f GROUP BY 1, 2
+    """
+)
 def window_timestamps(spark, d):
     rows = windows.windows(frames(spark, d), 16)
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "event_id"))), lambda e: e["event_id"].cast("string")), ",")
-    return rows.groupBy("recording_id", "window").agg(F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"), F.sha2(ids, 256).alias("checksum"))
+    return rows.groupBy("recording_id", "window").agg(
+        F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"), F.sha2(ids, 256).alias("checksum")
+    )
 
 
-@query(f"""WITH {FRAMES_SQL}, q AS (SELECT DISTINCT recording_id, t AS time_s FROM f, (VALUES (0.0), (3600.5), (86400.0), (1e9)) v(t)) SELECT recording_id, CAST(time_s AS DOUBLE) AS time_s, CAST(arg_min(frame_idx, (abs(ts_s - time_s), frame_idx)) AS BIGINT) AS frame_idx FROM f JOIN q USING (recording_id) GROUP BY 1, 2""")
+@query(
+    f"""
+    WITH {FRAMES_SQL}, q AS (SELECT DISTINCT recording_id, t AS time_s FROM f, (VALUES (0.0), (3600.5), (86400.0), (1e9)) v(t))
+    SELECT recording_id, CAST(time_s AS DOUBLE) AS time_s, CAST(arg_min(frame_idx, (abs(ts_s - time_s), frame_idx)) AS BIGINT) AS frame_idx
+    FROM f JOIN q USING (recording_id) GROUP BY 1, 2
+    """
+)
 def frame_index_at_timestamps(spark, d):
     f = frames(spark, d)
     lookups = f.select("recording_id").distinct().select("recording_id", F.explode(F.array(*map(F.lit, (0.0, 3600.5, 86400.0, 1e9)))).alias("time_s"))
     return timeindex.nearest_frame(f, lookups)
 
 
-@query("SELECT user_id AS recording_id, CAST(t AS DOUBLE) AS time_s, CAST(greatest(0, least(CAST(round_even(t * 30, 0) AS BIGINT), count(*) - 1)) AS BIGINT) AS frame_idx FROM events, (VALUES (0.0), (0.05), (0.0833), (1.01), (99.0)) v(t) GROUP BY 1, 2, t")
+@query(
+    """
+    SELECT user_id AS recording_id, CAST(t AS DOUBLE) AS time_s, CAST(greatest(0, least(CAST(round_even(t * 30, 0) AS BIGINT), count(*) - 1)) AS BIGINT) AS frame_idx
+    FROM events, (VALUES (0.0), (0.05), (0.0833), (1.01), (99.0)) v(t) GROUP BY 1, 2, t
+    """
+)
 def frame_index_at_rate(spark, d):
     rows = _lengths(spark, d).select("recording_id", "n", F.explode(F.array(*map(F.lit, (0.0, 0.05, 0.0833, 1.01, 99.0)))).alias("time_s"))
     return rows.select("recording_id", "time_s", timeindex.frame_at_rate(F.col("time_s"), F.lit(30), F.col("n")).alias("frame_idx"))
@@ -128,40 +162,86 @@ def frame_at(spark, d):
     return timeindex.frame(frames(spark, d), 7).select("recording_id", "frame_idx", "value", "k")
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, ts_s AS t, k AS c0, value AS c1, k AS c2 FROM f WHERE frame_idx < 30")
+@query(
+    f"""
+    WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, ts_s AS t, k AS c0, value AS c1, k AS c2 FROM f
+    WHERE frame_idx < 30
+    """
+)
 def signal_trace(spark, d):
     rows = timeindex.trace(frames(spark, d).withColumn("values", F.array("value", "k")), [1, 0, -1], 30)
     return rows.select("recording_id", "frame_idx", "t", *(F.get("picked", F.lit(i)).alias(f"c{i}") for i in range(3)))
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(c AS INTEGER) AS channel, CASE c WHEN 0 THEN value ELSE k END AS x FROM f, (VALUES (0), (1)) v(c) WHERE frame_idx = 3")
+@query(
+    f"""
+    WITH {FRAMES_SQL} SELECT recording_id, CAST(c AS INTEGER) AS channel, CASE c WHEN 0 THEN value ELSE k END AS x
+    FROM f, (VALUES (0), (1)) v(c) WHERE frame_idx = 3
+    """
+)
 def frame_signals(spark, d):
     return timeindex.signals(frames(spark, d).withColumn("values", F.array("value", "k")), 3)
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(coalesce((abs(value - lag(value) OVER w) + abs(k - lag(k) OVER w)) / 2, 0), 6) AS change FROM f WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)")
+@query(
+    f"""
+    WITH {FRAMES_SQL}
+    SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(coalesce((abs(value - lag(value) OVER w) + abs(k - lag(k) OVER w)) / 2, 0), 6) AS change
+    FROM f WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)
+    """
+)
 def lag_diff(spark, d):
     f = frames(spark, d).withColumn("v", F.array("value", "k"))
     before = F.lag("v").over(integrity.lag_window())
     return f.select("recording_id", "frame_idx", r6(metrics.change(F.col("v"), before)).alias("change"))
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(value - first_value(value) OVER (PARTITION BY recording_id ORDER BY frame_idx), 6) AS shift FROM f")
+@query(
+    f"""
+    WITH {FRAMES_SQL}
+    SELECT recording_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(value - first_value(value) OVER (PARTITION BY recording_id ORDER BY frame_idx), 6) AS shift
+    FROM f
+    """
+)
 def baseline_diff(spark, d):
     return frames(spark, d).select("recording_id", "frame_idx", r6(F.col("value") - F.first("value").over(integrity.lag_window())).alias("shift"))
 
 
-@query(f"WITH {FRAMES_SQL}, n AS (SELECT recording_id, greatest(1, count(*) // 4) AS size FROM f GROUP BY 1) SELECT recording_id, CAST(frame_idx // size AS BIGINT) AS segment, CAST(count(*) AS BIGINT) AS n_frames, round(avg(value), 6) AS mean_value FROM f JOIN n USING (recording_id) WHERE frame_idx // size < 4 GROUP BY 1, 2", "segments")
+@query(
+    f"""
+    WITH {FRAMES_SQL}, n AS (SELECT recording_id, greatest(1, count(*) // 4) AS size FROM f GROUP BY 1)
+    SELECT recording_id, CAST(frame_idx // size AS BIGINT) AS segment, CAST(count(*) AS BIGINT) AS n_frames, round(avg(value), 6) AS mean_value
+    FROM f JOIN n USING (recording_id) WHERE frame_idx // size < 4 GROUP BY 1, 2
+    """,
+    "segments",
+)
 def segments_(spark, d):
     n = F.count(F.lit(1)).over(Window.partitionBy("recording_id"))
-    return windows.segments(frames(spark, d).withColumn("n", n), F.col("n"), 4).groupBy("recording_id", "segment").agg(F.count(F.lit(1)).alias("n_frames"), r6(F.avg("value")).alias("mean_value"))
+    return (
+        windows.segments(frames(spark, d).withColumn("n", n), F.col("n"), 4)
+        .groupBy("recording_id", "segment")
+        .agg(F.count(F.lit(1)).alias("n_frames"), r6(F.avg("value")).alias("mean_value"))
+    )
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, count(*) AS n_frames, round(max(ts_s) - min(ts_s), 6) AS duration_s, bool_or(ts_s IS NOT NULL) AS has_timestamps FROM f GROUP BY 1")
+@query(
+    f"""
+    WITH {FRAMES_SQL}
+    SELECT recording_id, count(*) AS n_frames, round(max(ts_s) - min(ts_s), 6) AS duration_s, bool_or(ts_s IS NOT NULL) AS has_timestamps
+    FROM f GROUP BY 1
+    """
+)
 def recording_durations(spark, d):
-    facts = frames(spark, d).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count("ts_s").alias("n"), F.min("ts_s").alias("first"), F.max("ts_s").alias("last"))
+    facts = (
+        frames(spark, d)
+        .groupBy("recording_id")
+        .agg(F.count(F.lit(1)).alias("n_frames"), F.count("ts_s").alias("n"), F.min("ts_s").alias("first"), F.max("ts_s").alias("last"))
+    )
     ends = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array().cast("array<double>"))
-    return facts.select("recording_id", "n_frames", r6(timeindex.duration_s(ends, F.col("n_frames"), F.lit(30.0))).alias("duration_s"), (F.col("n") > 0).alias("has_timestamps"))
+    return facts.select(
+        "recording_id", "n_frames", r6(timeindex.duration_s(ends, F.col("n_frames"), F.lit(30.0))).alias("duration_s"),
+        (F.col("n") > 0).alias("has_timestamps")
+    )
 
 
 # labels ------------------------------------------------------------------------------------
@@ -169,29 +249,64 @@ def recording_durations(spark, d):
 
 @query("SELECT event_type, CAST(('0x' || substr(sha256(event_type), 1, 8)) AS BIGINT) AS code, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def label_hash_encode(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", labels.hash_code(F.col("event_type")).alias("code"), "n")
+    return (
+        table(spark, d, "events")
+        .groupBy("event_type")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("event_type", labels.hash_code(F.col("event_type")).alias("code"), "n")
+    )
 
 
-@query("SELECT doc_id, lang, CAST(CASE WHEN lang IS NULL THEN 0 ELSE dense_rank() OVER (ORDER BY lang NULLS LAST) END AS BIGINT) AS class FROM documents")
+@query(
+    """
+    SELECT doc_id, lang, CAST(CASE WHEN lang IS NULL THEN 0 ELSE dense_rank() OVER (ORDER BY lang NULLS LAST) END AS BIGINT) AS class
+    FROM documents
+    """
+)
 def label_dictionary(spark, d):
     return labels.dictionary_encode(table(spark, d, "documents").select("doc_id", "lang"), "lang").select("doc_id", "lang", "class")
 
 
-@query("SELECT doc_id, q AS quality, CAST(CASE WHEN q IS NULL THEN 0 ELSE dense_rank() OVER (ORDER BY q NULLS LAST) END AS BIGINT) AS class FROM (SELECT d.doc_id, CAST(quality AS VARCHAR) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")
+@query(
+    """
+    SELECT doc_id, q AS quality, CAST(CASE WHEN q IS NULL THEN 0 ELSE dense_rank() OVER (ORDER BY q NULLS LAST) END AS BIGINT) AS class
+    FROM (SELECT d.doc_id, CAST(quality AS VARCHAR) AS q FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+    """
+)
 def label_dictionary_nulls(spark, d):
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id", "left")
+    rows = (
+        table(spark, d, "documents")
+        .select("doc_id")
+        .join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id", "left")
+    )
     return labels.dictionary_encode(rows, "quality").select("doc_id", "quality", "class")
 
 
-@query("SELECT d.doc_id, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, nullif(source, ''), 'unknown') AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query(
+    """
+    SELECT d.doc_id, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, nullif(source, ''), 'unknown') AS label FROM documents d LEFT
+    JOIN labels l ON l.doc_id = d.doc_id
+    """
+)
 def record_label_fallback(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    return rows.select("doc_id", labels.fallback(F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("toxic") == 0, F.lit("")), F.col("source")).alias("label"))
+    return rows.select(
+        "doc_id",
+        labels.fallback(F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("toxic") == 0, F.lit("")), F.col("source")).alias("label")
+    )
 
 
-@query("SELECT event_id, event_type, value FROM (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 3")
+@query(
+    """
+    SELECT event_id, event_type, value
+    FROM (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rn
+    FROM events) WHERE rn <= 3
+    """
+)
 def top_per_label(spark, d):
-    return centroids.best_rows(table(spark, d, "events").select("event_id", "event_type", "value"), "event_type", [F.desc("value"), F.asc("event_id")], 3)
+    return centroids.best_rows(
+        table(spark, d, "events").select("event_id", "event_type", "value"), "event_type", [F.desc("value"), F.asc("event_id")], 3
+    )
 
 
 # catalog -----------------------------------------------------------------------------------
@@ -201,7 +316,10 @@ def _episodes(spark, d) -> DataFrame:
     """Documents as episodes: language for sensor, source for modality, quality for material."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
     known = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("material"))
-    return docs.join(known, "doc_id", "left").select("doc_id", F.col("lang").alias("sensor_type"), F.col("source").alias("modality"), "material", F.col("n_chars").alias("size_bytes"))
+    return docs.join(known, "doc_id", "left").select(
+        "doc_id", F.col("lang").alias("sensor_type"), F.col("source").alias("modality"), "material",
+        F.col("n_chars").alias("size_bytes")
+    )
 
 
 _EPISODES_SQL = "e AS (SELECT d.doc_id, lang AS sensor_type, source AS modality, CAST(quality AS VARCHAR) AS material, n_chars AS size_bytes FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
@@ -223,15 +341,26 @@ def _struct(kind: str, **given: F.Column) -> F.Column:
 
 
 @query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_frames, CAST(sum(length(text)) AS BIGINT) AS size_bytes, arg_min(role, turn) AS first_role,
-  CAST(count(DISTINCT role) AS BIGINT) AS n_roles, CAST(count(*) / 2.0 AS DOUBLE) AS duration_s, false AS has_timestamps, CAST(count(*) AS VARCHAR) || '×1' AS shape_str FROM conversations GROUP BY 1""")
+  CAST(count(DISTINCT role) AS BIGINT) AS n_roles, CAST(count(*) / 2.0 AS DOUBLE) AS duration_s, false AS has_timestamps, CAST(count(*) AS VARCHAR) || '×1' AS shape_str
+  FROM conversations GROUP BY 1""")
 def episode_summary(spark, d):
     """Conversations as recordings of turns, two a second, summarised."""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("bytes"), F.min_by("role", "turn").alias("first"), F.collect_set("role").alias("roles"))
+    rows = (
+        table(spark, d, "conversations")
+        .groupBy("conv_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("bytes"), F.min_by("role", "turn").alias("first"),
+            F.collect_set("role").alias("roles")
+        )
+    )
     recordings = _as_recordings(
         rows, path=F.col("conv_id"), n_frames=F.col("n"), size_bytes=F.col("bytes"), sampling_rate_hz=F.lit(2.0), shape=F.array(F.col("n"), F.lit(1)), sensor=_struct("sensor", type=F.col("first")), labels=_struct("labels", custom_tags=F.col("roles"))
     )
     kind = dict(rows.dtypes)["conv_id"]
-    return catalog.summary(recordings).select(F.col("path").cast(kind).alias("conv_id"), "n_frames", "size_bytes", F.col("sensor_type").alias("first_role"), F.size("custom_tags").cast("long").alias("n_roles"), "duration_s", "has_timestamps", "shape_str")
+    return catalog.summary(recordings).select(
+        F.col("path").cast(kind).alias("conv_id"), "n_frames", "size_bytes", F.col("sensor_type").alias("first_role"),
+        F.size("custom_tags").cast("long").alias("n_roles"), "duration_s", "has_timestamps", "shape_str"
+    )
 
 
 @query(f"""WITH {_EPISODES_SQL} SELECT CAST(doc_id AS VARCHAR) AS name, sensor_type, modality, material, n_frames, 100.0::DOUBLE AS sampling_rate_hz, round(n_frames / 100.0, 3) AS duration_s, round(size_bytes / 1e6, 2) AS size_mb, false AS has_unified, modality || '/' || doc_id AS path
@@ -246,9 +375,16 @@ def gallery(spark, d):
     return catalog.gallery(catalog.summary(recordings)).drop("object_name", "task", "interaction_type")
 
 
-@query(f"WITH {_EPISODES_SQL} SELECT doc_id, sensor_type, modality, material FROM e WHERE sensor_type IN ('en', 'de') AND modality IN ('src0', 'src1', 'src2') AND material IN ('1')")
+@query(
+    f"""
+    WITH {_EPISODES_SQL} SELECT doc_id, sensor_type, modality, material FROM e
+    WHERE sensor_type IN ('en', 'de') AND modality IN ('src0', 'src1', 'src2') AND material IN ('1')
+    """
+)
 def gallery_filtered(spark, d):
-    return catalog.filtered(_episodes(spark, d), ["en", "de"], ["src0", "src1", "src2"], ["1"]).select("doc_id", "sensor_type", "modality", "material")
+    return catalog.filtered(
+        _episodes(spark, d), ["en", "de"], ["src0", "src1", "src2"], ["1"]
+    ).select("doc_id", "sensor_type", "modality", "material")
 
 
 @query(f"WITH {_EPISODES_SQL} SELECT DISTINCT material FROM e WHERE material IS NOT NULL")
@@ -265,19 +401,26 @@ def scan_limit(spark, d):
 @query("SELECT source AS dataset, CAST(count(*) AS BIGINT) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def cache_info(spark, d):
     """Documents as files of a folder a source."""
-    files = table(spark, d, "documents").select(F.concat_ws("/", "source", F.lit("texts"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").cast("long").alias("length"))
+    files = table(spark, d, "documents").select(
+        F.concat_ws("/", "source", F.lit("texts"), F.col("doc_id").cast("string")).alias("path"),
+        F.col("n_chars").cast("long").alias("length")
+    )
     return catalog.sizes_by_dataset(files)
 
 
 _CATALOG_SQL = """c AS (SELECT CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 11 <> 0 THEN url END AS license, 'S' || (page_id % 3) || ', S' || (page_id % 5) AS sensor_type,
   CASE WHEN page_id % 7 = 0 THEN 'ftp://x' ELSE url END AS url, CASE WHEN page_id % 13 = 0 THEN 0 ELSE length(html) END AS size_bytes, CASE WHEN page_id % 17 = 0 THEN 'xyz' ELSE sha256(url) END AS sha256,
-  CASE WHEN page_id % 4 = 0 THEN sha256('S0') WHEN page_id % 4 = 1 THEN sha256('S1') END AS encoder_sha256 FROM pages), w AS (SELECT 'S' || i AS sensor_type, sha256('S' || i) AS sha256 FROM range(4) t(i))"""
+  CASE WHEN page_id % 4 = 0 THEN sha256('S0') WHEN page_id % 4 = 1 THEN sha256('S1') END AS encoder_sha256 FROM pages),
+  w AS (SELECT 'S' || i AS sensor_type, sha256('S' || i) AS sha256 FROM range(4) t(i))"""
 
 
 @query(f"""WITH {_CATALOG_SQL}, own AS (SELECT name, 'missing license' AS problem FROM c WHERE license IS NULL UNION ALL SELECT name, 'missing url' FROM c WHERE url IS NULL UNION ALL SELECT name, 'missing size_bytes' FROM c WHERE size_bytes IS NULL
-  UNION ALL SELECT name, 'size must be positive' FROM c WHERE size_bytes <= 0 OR size_bytes IS NULL UNION ALL SELECT name, 'not a web address' FROM c WHERE url IS NULL OR NOT regexp_matches(url, '^https?://')
-  UNION ALL SELECT name, 'not a SHA-256' FROM c WHERE NOT regexp_full_match(sha256, '[0-9a-f]{{64}}')), s AS (SELECT name, encoder_sha256, unnest(string_split(sensor_type, ', ')) AS sensor_type FROM c WHERE encoder_sha256 IS NOT NULL)
-  SELECT * FROM own UNION ALL SELECT name, 'encoder differs from the published one: ' || s.sensor_type FROM s LEFT JOIN w USING (sensor_type) WHERE w.sha256 IS NULL OR w.sha256 <> encoder_sha256""")
+  UNION ALL SELECT name, 'size must be positive' FROM c WHERE size_bytes <= 0 OR size_bytes IS NULL
+  UNION ALL SELECT name, 'not a web address' FROM c WHERE url IS NULL OR NOT regexp_matches(url, '^https?://')
+  UNION ALL SELECT name, 'not a SHA-256' FROM c WHERE NOT regexp_full_match(sha256, '[0-9a-f]{{64}}')),
+  s AS (SELECT name, encoder_sha256, unnest(string_split(sensor_type, ', ')) AS sensor_type FROM c WHERE encoder_sha256 IS NOT NULL)
+  SELECT * FROM own UNION ALL SELECT name, 'encoder differs from the published one: ' || s.sensor_type FROM s LEFT
+  JOIN w USING (sensor_type) WHERE w.sha256 IS NULL OR w.sha256 <> encoder_sha256""")
 def catalog_validate(spark, d):
     """Pages as entries of a catalog, some with something wrong, against published weights of four sensors."""
     p, n = table(spark, d, "pages"), F.col("page_id")
@@ -319,7 +462,13 @@ def l2_normalize(spark, d):
     return _vectors(spark, d).select("vec_id", F.posexplode(vectors.unit(F.col("embedding"))).alias("dim", "x")).withColumn("x", r6("x"))
 
 
-@query(f"WITH {_V}, m AS (SELECT vec_id, v, list_min(v) AS lo, list_max(v) AS hi FROM v) SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(CASE WHEN hi - lo < 1e-9 THEN 0 ELSE round_even((v[i] - lo) / (hi - lo) * 255, 0) END AS INTEGER) AS x FROM m, range(1, 65) t(i)")
+@query(
+    f"""
+    WITH {_V}, m AS (SELECT vec_id, v, list_min(v) AS lo, list_max(v) AS hi FROM v)
+    SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(CASE WHEN hi - lo < 1e-9 THEN 0 ELSE round_even((v[i] - lo) / (hi - lo) * 255, 0) END AS INTEGER) AS x
+    FROM m, range(1, 65) t(i)
+    """
+)
 def minmax_uint8(spark, d):
     return _vectors(spark, d).select("vec_id", F.posexplode(vectors.to_uint8(F.col("embedding").cast("array<double>"))).alias("dim", "x"))
 
@@ -355,10 +504,18 @@ def centroid_accuracy(spark, d):
     return centroids.accuracy(v.select("vec_id", "label").join(centroids.nearest(v, centroids.centroids(v), "vec_id"), "vec_id"))
 
 
-@query(f"WITH {_U} SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.u[i] * b.u[i])), 6) AS similarity FROM u a JOIN u b ON b.vec_id = a.vec_id + 1")
+@query(
+    f"""
+    WITH {_U}
+    SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: a.u[i] * b.u[i])), 6) AS similarity
+    FROM u a JOIN u b ON b.vec_id = a.vec_id + 1
+    """
+)
 def cosine_pairs(spark, d):
     v = _vectors(spark, d)
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y"))
+    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(
+        F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y")
+    )
     return a.join(b, "a").select("a", "b", r6(vectors.cosine(F.col("x"), F.col("y"))).alias("similarity"))
 
 
@@ -374,7 +531,12 @@ def missing_keys(spark, d):
     return table(spark, d, "documents").select("doc_id").distinct().join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT CAST(0 AS INTEGER) AS pos, user_id AS recording_id, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT CAST(1 AS INTEGER), user_id, event_id FROM events WHERE event_type <> 'click'")
+@query(
+    """
+    SELECT CAST(0 AS INTEGER) AS pos, user_id AS recording_id, event_id FROM events WHERE event_type = 'click' UNION ALL
+    SELECT CAST(1 AS INTEGER), user_id, event_id FROM events WHERE event_type <> 'click'
+    """
+)
 def concat_episodes(spark, d):
     e = table(spark, d, "events").select("event_type", F.col("user_id").alias("recording_id"), "event_id")
     of = lambda rows, pos: rows.select(F.lit(pos).alias("pos"), "recording_id", "event_id")
@@ -389,44 +551,103 @@ def loo_accuracy_centroid_only(spark, d):
     return centroids.leave_one_out(_vectors(spark, d), "vec_id")
 
 
-@query(f"WITH {_V} SELECT vec_id, round(avg(v[i]), 6) AS mean, round(stddev_pop(v[i]), 6) AS std, count(*) FILTER (v[i] < 0) / 64.0 AS contact FROM v, range(1, 65) t(i) GROUP BY 1")
+@query(
+    f"""
+    WITH {_V}
+    SELECT vec_id, round(avg(v[i]), 6) AS mean, round(stddev_pop(v[i]), 6) AS std, count(*) FILTER (v[i] < 0) / 64.0 AS contact
+    FROM v, range(1, 65) t(i) GROUP BY 1
+    """
+)
 def frame_metrics(spark, d):
     v = F.col("v")
-    return _vectors(spark, d).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", r6(metrics.mean_of(v)).alias("mean"), r6(metrics.std_of(v)).alias("std"), metrics.share_below(v, 0).alias("contact"))
+    return (
+        _vectors(spark, d)
+        .select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+        .select("vec_id", r6(metrics.mean_of(v)).alias("mean"), r6(metrics.std_of(v)).alias("std"), metrics.share_below(v, 0).alias("contact"))
+    )
 
 
-@query(f"WITH {_V} SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(v[i]), 6) AS mean, round(stddev_pop(v[i]), 6) AS std FROM v, range(1, 65) t(i) GROUP BY 1, i")
+@query(
+    f"""
+    WITH {_V} SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(v[i]), 6) AS mean, round(stddev_pop(v[i]), 6) AS std
+    FROM v, range(1, 65) t(i) GROUP BY 1, i
+    """
+)
 def temporal_mean_std(spark, d):
-    return metrics.temporal(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), "label").withColumn("mean", r6("mean")).withColumn("std", r6("std"))
+    return (
+        metrics.temporal(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), "label")
+        .withColumn("mean", r6("mean"))
+        .withColumn("std", r6("std"))
+    )
 
 
-@query(f"WITH {_V}, p AS (SELECT label, i, v[i] AS x FROM v, range(1, 65) t(i)), d AS (SELECT label, (i - 1) % 4 AS channel, i, stddev_pop(x) AS s FROM p GROUP BY 1, 2, 3), e AS (SELECT label, channel, avg(s) AS s FROM d GROUP BY 1, 2) SELECT p.label, CAST((p.i - 1) % 4 AS INTEGER) AS channel, round(avg(p.x), 6) AS mean, round(stddev_pop(p.x), 6) AS std, round(any_value(e.s), 6) AS temporal_std FROM p JOIN e ON e.label = p.label AND e.channel = (p.i - 1) % 4 GROUP BY p.label, (p.i - 1) % 4")
+@query(
+    f"""
+    WITH {_V}, p AS (SELECT label, i, v[i] AS x FROM v, range(1, 65) t(i)),
+    d AS (SELECT label, (i - 1) % 4 AS channel, i, stddev_pop(x) AS s FROM p GROUP BY 1, 2, 3),
+    e AS (SELECT label, channel, avg(s) AS s FROM d GROUP BY 1, 2)
+    SELECT p.label, CAST((p.i - 1) % 4 AS INTEGER) AS channel, round(avg(p.x), 6) AS mean, round(stddev_pop(p.x), 6) AS std, round(any_value(e.s), 6) AS temporal_std
+    FROM p JOIN e ON e.label = p.label AND e.channel = (p.i - 1) % 4 GROUP BY p.label, (p.i - 1) % 4
+    """
+)
 def channel_mean_std(spark, d):
     rows = metrics.channel_statistics(_vectors(spark, d).select("label", F.col("embedding").cast("array<double>").alias("values")), 4, "label")
     return rows.select("label", "channel", *(r6(c).alias(c) for c in ("mean", "std", "temporal_std")))
 
 
-@query(f"WITH {_V}, c AS (SELECT vec_id, ((i - 1) // 8) // 2 * 4 + ((i - 1) % 8) // 2 AS cell, avg(v[i]) AS x FROM v, range(1, 65) t(i) GROUP BY 1, 2), a AS (SELECT vec_id, CAST(cell AS INTEGER) AS place, x FROM c WHERE cell < 10 UNION ALL SELECT vec_id, 10, avg(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1 UNION ALL SELECT vec_id, 11, stddev_pop(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1) SELECT vec_id, place, round(x, 6) AS x FROM a")
+@query(
+    f"""
+    WITH {_V}, c AS (SELECT vec_id, ((i - 1) // 8) // 2 * 4 + ((i - 1) % 8) // 2 AS cell, avg(v[i]) AS x FROM v, range(1, 65) t(i)
+    GROUP BY 1, 2), a AS (SELECT vec_id, CAST(cell AS INTEGER) AS place, x FROM c WHERE cell < 10 UNION ALL
+    SELECT vec_id, 10, avg(v[i]) FROM v, range(1, 65) t(i) GROUP BY 1 UNION ALL SELECT vec_id, 11, stddev_pop(v[i])
+    FROM v, range(1, 65) t(i) GROUP BY 1) SELECT vec_id, place, round(x, 6) AS x FROM a
+    """
+)
 def grid_summary(spark, d):
-    rows = _vectors(spark, d).select(F.col("vec_id").alias("recording_id"), F.lit(0).alias("frame_idx"), F.col("embedding").cast("array<double>").alias("values"))
-    return metrics.cell_summary(rows, 8, 8, 4, 4).select(F.col("recording_id").alias("vec_id"), F.posexplode("features").alias("place", "x")).withColumn("x", r6("x"))
+    rows = _vectors(spark, d).select(
+        F.col("vec_id").alias("recording_id"), F.lit(0).alias("frame_idx"),
+        F.col("embedding").cast("array<double>").alias("values")
+    )
+    return (
+        metrics.cell_summary(rows, 8, 8, 4, 4)
+        .select(F.col("recording_id").alias("vec_id"), F.posexplode("features").alias("place", "x"))
+        .withColumn("x", r6("x"))
+    )
 
 
-@query("SELECT event_type, CAST(least(floor(value / (256.0 / 32)), 31) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM events WHERE value >= 0 AND value <= 256 GROUP BY 1, 2")
+@query(
+    """
+    SELECT event_type, CAST(least(floor(value / (256.0 / 32)), 31) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM events
+    WHERE value >= 0 AND value <= 256 GROUP BY 1, 2
+    """
+)
 def histogram32(spark, d):
     return metrics.histogram(table(spark, d, "events"), F.col("value"), 0, 256, 32, "event_type")
 
 
-@query(f"WITH {_V} SELECT vec_id, CAST(((i - 1) // 8) // 2 * 4 + ((i - 1) % 8) // 2 AS INTEGER) AS cell, round(avg(v[i]), 6) AS mean FROM v, range(1, 65) t(i) GROUP BY 1, 2")
+@query(
+    f"""
+    WITH {_V} SELECT vec_id, CAST(((i - 1) // 8) // 2 * 4 + ((i - 1) % 8) // 2 AS INTEGER) AS cell, round(avg(v[i]), 6) AS mean
+    FROM v, range(1, 65) t(i) GROUP BY 1, 2
+    """
+)
 def grid_cells(spark, d):
-    rows = _vectors(spark, d).select(F.col("vec_id").alias("recording_id"), F.lit(0).alias("frame_idx"), F.col("embedding").cast("array<double>").alias("values"))
+    rows = _vectors(spark, d).select(
+        F.col("vec_id").alias("recording_id"), F.lit(0).alias("frame_idx"),
+        F.col("embedding").cast("array<double>").alias("values")
+    )
     return metrics.cells(rows, 8, 8, 4, 4).select(F.col("recording_id").alias("vec_id"), "cell", r6("mean").alias("mean"))
 
 
 # linear algebra: rows only, tests hold them against numpy --------------------------------------
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM range(64) a(i), range(64) b(j)")
+@query(
+    """
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS x
+    FROM range(64) a(i), range(64) b(j)
+    """
+)
 def whitened_gram(spark, d):
     """The Gram matrix of the whitened vectors, row by row: the identity."""
     v = _vectors(spark, d)
@@ -438,7 +659,10 @@ def whitened_gram(spark, d):
 @query()
 def encode_trained(spark, d):
     """Each vector's class by an encoder fitted to all of them, 24 records of 6 classes."""
-    rows = _vectors(spark, d).select((F.col("vec_id") % 24).alias("recording_id"), (F.col("vec_id") % 24 % 6).cast("string").alias("label"), "vec_id", F.col("embedding").cast("array<double>").alias("values"))
+    rows = _vectors(spark, d).select(
+        (F.col("vec_id") % 24).alias("recording_id"), (F.col("vec_id") % 24 % 6).cast("string").alias("label"), "vec_id",
+        F.col("embedding").cast("array<double>").alias("values")
+    )
     fitted = encoders.Encoder("BioTac").fit(rows, evaluate=False)
     found = fitted.encode(rows).select("vec_id", "label", "embedding")
     near = centroids.nearest(found, centroids.centroids(found), "vec_id")
@@ -448,7 +672,10 @@ def encode_trained(spark, d):
 @query()
 def leave_one_record_out(spark, d):
     """The published benchmark's procedure on the vectors: 24 records of 6 classes, each left out in turn."""
-    rows = _vectors(spark, d).select((F.col("vec_id") % 24).cast("string").alias("record"), (F.col("vec_id") % 24 % 6).cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("features"))
+    rows = _vectors(spark, d).select(
+        (F.col("vec_id") % 24).cast("string").alias("record"), (F.col("vec_id") % 24 % 6).cast("string").alias("label"),
+        F.col("embedding").cast("array<double>").alias("features")
+    )
     return spark.createDataFrame([(encoders.leave_one_record_out(rows),)], "score double")
 
 
@@ -463,27 +690,53 @@ def cca_correlations(spark, d):
 SELECT round(2 * sum(r) / (64 * 64), 6) AS before, 0.0::DOUBLE AS after FROM c""")
 def decorrelation_score(spark, d):
     m = linalg.moments(_vectors(spark, d), "embedding")
-    return spark.createDataFrame([(round(linalg.decorrelation(m.r), 6), round(linalg.decorrelation(m.r @ linalg.whitening(m)), 4))], "before double, after double")
+    return spark.createDataFrame(
+        [(round(linalg.decorrelation(m.r), 6), round(linalg.decorrelation(m.r @ linalg.whitening(m)), 4))],
+        "before double, after double"
+    )
 
 
 # integrity and recording -----------------------------------------------------------------------
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, sha256(string_agg(event_id || ':' || event_type || ';', '' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1")
+@query(
+    f"""
+    WITH {FRAMES_SQL} SELECT recording_id, sha256(string_agg(event_id || ':' || event_type || ';', '' ORDER BY frame_idx)) AS checksum
+    FROM f GROUP BY 1
+    """
+)
 def recording_checksum(spark, d):
     f = frames(spark, d).withColumn("payload", F.concat(F.col("event_id").cast("string"), F.lit(":"), "event_type", F.lit(";")).cast("binary"))
     return integrity.checksums(f)
 
 
-@query(f"WITH {FRAMES_SQL} SELECT recording_id, CAST(count(*) AS BIGINT) AS n_frames, '1' AS shape, 'uint8' AS dtype, round(min(ts_s), 6) AS first_s, round(max(ts_s), 6) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), '' ORDER BY frame_idx)) AS checksum FROM f GROUP BY 1")
+@query(
+    f"""
+    WITH {FRAMES_SQL}
+    SELECT recording_id, CAST(count(*) AS BIGINT) AS n_frames, '1' AS shape, 'uint8' AS dtype, round(min(ts_s), 6) AS first_s, round(max(ts_s), 6) AS last_s, sha256(string_agg(CAST(event_id AS VARCHAR), '' ORDER BY frame_idx)) AS checksum
+    FROM f GROUP BY 1
+    """
+)
 def recorder_finalize(spark, d):
-    f = frames(spark, d).withColumns({"payload": F.col("event_id").cast("string").cast("binary"), "shape": F.array(F.lit(1)).cast("array<bigint>"), "dtype": F.lit("uint8")})
-    return recorder.finalized(f, with_times=False).select("recording_id", "n_frames", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), "dtype", r6("first_s").alias("first_s"), r6("last_s").alias("last_s"), "checksum")
+    f = frames(spark, d).withColumns(
+        {"payload": F.col("event_id").cast("string").cast("binary"), "shape": F.array(F.lit(1)).cast("array<bigint>"), "dtype": F.lit("uint8")}
+    )
+    return recorder.finalized(f, with_times=False).select(
+        "recording_id", "n_frames", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), "dtype",
+        r6("first_s").alias("first_s"), r6("last_s").alias("last_s"), "checksum"
+    )
 
 
-@query("SELECT l_orderkey AS recording_id, CAST((l_linenumber - 1) // 2 AS BIGINT) AS \"window\", CAST(count(*) AS BIGINT) AS n_frames, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1, 2")
+@query(
+    """
+    SELECT l_orderkey AS recording_id, CAST((l_linenumber - 1) // 2 AS BIGINT) AS \"window\", CAST(count(*) AS BIGINT) AS n_frames, CAST(sum(l_quantity) AS DOUBLE) AS quantity
+    FROM lineitem GROUP BY 1, 2
+    """
+)
 def lineitem_windows(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("recording_id"), (F.col("l_linenumber") - 1).cast("long").alias("frame_idx"), "l_quantity")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("recording_id"), (F.col("l_linenumber") - 1).cast("long").alias("frame_idx"), "l_quantity"
+    )
     return windows.windows(rows, 2).groupBy("recording_id", "window").agg(F.count(F.lit(1)).alias("n_frames"), F.sum("l_quantity").alias("quantity"))
 
 

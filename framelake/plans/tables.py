@@ -12,10 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event: frame_idx by time, ts_s since the recording's first frame, channels [value, props.k]."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("recording_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id",
+        "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k")
+    )
     own = Window.partitionBy("recording_id")
     idx = (F.row_number().over(own.orderBy("us", "event_id")) - 1).cast("long")
-    return rows.select("recording_id", idx.alias("frame_idx"), ((F.col("us") - F.min("us").over(own)) / 1e6).alias("ts_s"), "event_id", "event_type", "value", "k")
+    return rows.select(
+        "recording_id", idx.alias("frame_idx"), ((F.col("us") - F.min("us").over(own)) / 1e6).alias("ts_s"), "event_id",
+        "event_type", "value", "k"
+    )
 
 
 #: The same in SQL, as f.

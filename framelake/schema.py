@@ -47,9 +47,15 @@ def empty_to_null(c: Column) -> Column:
 
 def labels_json(labels: Column) -> Column:
     """Without empty fields; the object's name is called "object"."""
-    names = {"material": "material", "material_category": "material_category", "object_name": "object", "object_category": "object_category", "task": "task"}
+    names = {
+        "material": "material", "material_category": "material_category", "object_name": "object",
+        "object_category": "object_category", "task": "task"
+    }
     tags = F.when(F.size(labels["custom_tags"]) > 0, labels["custom_tags"])
-    return F.to_json(F.struct(*(empty_to_null(labels[k]).alias(v) for k, v in names.items()), tags.alias("custom_tags")), {"ignoreNullFields": "true"})
+    return F.to_json(
+        F.struct(*(empty_to_null(labels[k]).alias(v) for k, v in names.items()), tags.alias("custom_tags")),
+        {"ignoreNullFields": "true"}
+    )
 
 
 def interaction_json(interaction: Column) -> Column:

@@ -33,7 +33,10 @@ from pyspark.sql.types import _parse_datatype_string
 from framelake.schema import FRAMES, RECORDINGS, ChecksumError, FormatError
 from framelake.sources._bytes import blosc, npy_head, npy_header, open_at, place, read_exactly, seekable, unpacked
 
-MEMBERS = ("manifest.json", "labels.json", "provenance.json", "raw/data.npy", "raw/checksum.sha256", "unified/data.npy", "unified/checksum.sha256", "unified/transform.json")
+MEMBERS = (
+    "manifest.json", "labels.json", "provenance.json", "raw/data.npy", "raw/checksum.sha256", "unified/data.npy",
+    "unified/checksum.sha256", "unified/transform.json"
+)
 RANGE_BYTES = 32 << 20
 CHUNK_FRAMES = 32
 VERSION = "0.2.0"
@@ -55,14 +58,26 @@ def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     deep = _SHOWN + ("*" if recursive else "{0}")
     rel = F.substring(F.col("path"), len(top) + 2, 1 << 30)
     folder = F.regexp_extract(rel, rf"^({deep}[^/]*\.hapt)/{_MEMBER}$", 1)
-    own = F.when(rel.rlike(rf"^{_MEMBER}$"), F.lit(top)).when(folder != "", F.concat(F.lit(top + "/"), folder)).when((rel == "") | rel.rlike(rf"^{deep}[^/]*\.hapt[^/]*\.(?:zip|zarr)$"), F.col("path"))
-    kind = F.when(F.col("path") != F.col("recording_id"), F.lit("directory")).when(F.col("path").endswith(".zarr"), F.lit("zarr")).otherwise(F.lit("zip"))
+    own = (
+        F.when(rel.rlike(rf"^{_MEMBER}$"), F.lit(top))
+        .when(folder != "", F.concat(F.lit(top + "/"), folder))
+        .when((rel == "") | rel.rlike(rf"^{deep}[^/]*\.hapt[^/]*\.(?:zip|zarr)$"), F.col("path"))
+    )
+    kind = (
+        F.when(F.col("path") != F.col("recording_id"), F.lit("directory"))
+        .when(F.col("path").endswith(".zarr"), F.lit("zarr"))
+        .otherwise(F.lit("zip"))
+    )
 
     def read(kinds: str, content: bool) -> DataFrame:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", kinds).load(root)
         found = found.select("path", (F.col("content") if content else F.lit(None).cast("binary")).alias("content"), "length")
         found = found.withColumn("recording_id", own).where("recording_id IS NOT NULL").withColumn("format", kind)
-        return found.select("recording_id", "format", F.when(F.col("format") == "directory", F.regexp_extract("path", f"/({_MEMBER})$", 1)).alias("name"), "path", "content", "length")
+        return found.select(
+            "recording_id", "format",
+            F.when(F.col("format") == "directory", F.regexp_extract("path", f"/({_MEMBER})$", 1)).alias("name"), "path",
+            "content", "length"
+        )
 
     return read("*.{json,sha256}", True).unionByName(read("*.{npy,zip,zarr}", not seekable(root)))
 
@@ -167,7 +182,10 @@ class Container:
 
     def __contains__(self, name: str) -> bool:
         if self.kind == "zarr":
-            return {"raw/data.npy": "raw/data/.zarray" in self._names, "unified/data.npy": "unified/data/.zarray" in self._names, "unified/transform.json": "unified/data/.zarray" in self._names}.get(name, name.removesuffix(".json") in self._roots)
+            return {
+                "raw/data.npy": "raw/data/.zarray" in self._names, "unified/data.npy": "unified/data/.zarray" in self._names,
+                "unified/transform.json": "unified/data/.zarray" in self._names
+            }.get(name, name.removesuffix(".json") in self._roots)
         return name in self._names
 
     def _read(self, name: str) -> bytes:
@@ -237,7 +255,9 @@ def parse(container: Container, check: bool = True) -> tuple[dict, Array]:
     }
     if "unified/data.npy" in container and "unified/transform.json" in container:
         u = container.array("unified")
-        meta["unified"] = unified_from(container.json("unified/transform.json"), manifest["modality"]) | {"shape": list(u.shape), "checksum": u.digest() if check else container.checksum("unified")}
+        meta["unified"] = unified_from(container.json("unified/transform.json"), manifest["modality"]) | {
+            "shape": list(u.shape), "checksum": u.digest() if check else container.checksum("unified")
+        }
     return meta, array
 
 
@@ -254,12 +274,20 @@ def _filled(d: dict | None) -> dict:
 
 
 def sensor_from(d: dict) -> dict:
-    return {"type": d.get("type"), "serial": _text(d, "serial"), "calibration_date": _text(d, "calibration_date"), "calibration_params": json.dumps(d["calibration_params"]) if d.get("calibration_params") else None}
+    return {
+        "type": d.get("type"), "serial": _text(d, "serial"), "calibration_date": _text(d, "calibration_date"),
+        "calibration_params": json.dumps(d["calibration_params"]) if d.get("calibration_params") else None
+    }
 
 
 def sensor_to(r: dict) -> dict:
     params = r.get("calibration_params")
-    return {"type": r.get("type")} | _filled({"serial": r.get("serial"), "calibration_date": r.get("calibration_date"), "calibration_params": json.loads(params) if isinstance(params, str) else params})
+    return {"type": r.get("type")} | _filled(
+        {
+            "serial": r.get("serial"), "calibration_date": r.get("calibration_date"),
+            "calibration_params": json.loads(params) if isinstance(params, str) else params
+        }
+    )
 
 
 CONDITIONS = ("speed_mm_s", "normal_force_N", "approach_angle_deg", "temperature_C", "humidity_pct")
@@ -273,7 +301,10 @@ def interaction_to(r: dict) -> dict:
     return {k: v for k, v in r.items() if v is not None}
 
 
-_LABELS = {"material": "material", "material_category": "material_category", "object_name": "object", "object_category": "object_category", "task": "task"}
+_LABELS = {
+    "material": "material", "material_category": "material_category", "object_name": "object",
+    "object_category": "object_category", "task": "task"
+}
 
 
 def labels_from(d: dict) -> dict:
@@ -286,7 +317,11 @@ def labels_to(r: dict) -> dict:
 
 def provenance_from(p: dict) -> dict:
     steps = [{"name": s.get("name"), "params": json.dumps(s.get("params", {})), "tool": s.get("tool") or None} for s in p.get("processing", [])]
-    return {"file_hash": p.get("file_hash", ""), "derived_from": p.get("derived_from"), "processing": steps, "is_lossy": bool(p.get("is_lossy", False)), "source": json.dumps(p["source"]) if p.get("source") else None, "created": p.get("created"), "created_by": p.get("created_by")}
+    return {
+        "file_hash": p.get("file_hash", ""), "derived_from": p.get("derived_from"), "processing": steps,
+        "is_lossy": bool(p.get("is_lossy", False)), "source": json.dumps(p["source"]) if p.get("source") else None,
+        "created": p.get("created"), "created_by": p.get("created_by")
+    }
 
 
 def provenance_to(r: dict | None) -> dict:
@@ -294,11 +329,19 @@ def provenance_to(r: dict | None) -> dict:
         return {"file_hash": "", "processing": [], "is_lossy": False, "created": datetime.now(UTC).isoformat()}
     steps = [{"name": s["name"], "params": json.loads(s.get("params") or "{}")} | _filled({"tool": s.get("tool")}) for s in r.get("processing") or []]
     out = {"file_hash": r.get("file_hash") or "", "processing": steps, "is_lossy": bool(r.get("is_lossy"))}
-    return out | _filled({"derived_from": r.get("derived_from"), "source": json.loads(r["source"]) if r.get("source") else None, "created": r.get("created"), "created_by": r.get("created_by")})
+    return out | _filled(
+        {
+            "derived_from": r.get("derived_from"), "source": json.loads(r["source"]) if r.get("source") else None,
+            "created": r.get("created"), "created_by": r.get("created_by")
+        }
+    )
 
 
 def unified_from(t: dict, modality: str = "unknown") -> dict:
-    return {"method": t.get("method", "unknown"), "source_modality": t.get("source_modality", modality), "target_modality": t.get("target_modality", "unified"), "is_lossy": bool(t.get("is_lossy", True))}
+    return {
+        "method": t.get("method", "unknown"), "source_modality": t.get("source_modality", modality),
+        "target_modality": t.get("target_modality", "unified"), "is_lossy": bool(t.get("is_lossy", True))
+    }
 
 
 def unified_to(r: dict) -> dict:
@@ -335,7 +378,9 @@ def recordings(spark: SparkSession, root: str, recursive: bool = True, check: bo
     schema = to_arrow_schema(_parse_datatype_string(RECORDINGS))
 
     def run(key, table):
-        row = {f.name: None for f in schema} | {"recording_id": key[0].as_py(), "path": key[0].as_py(), "size_bytes": sum(table.column("length").to_pylist())}
+        row = {f.name: None for f in schema} | {
+            "recording_id": key[0].as_py(), "path": key[0].as_py(), "size_bytes": sum(table.column("length").to_pylist())
+        }
         try:
             container = _container(table)
             row |= {"format": container.kind} | parse(container, check)[0]
@@ -346,7 +391,9 @@ def recordings(spark: SparkSession, root: str, recursive: bool = True, check: bo
     return files(spark, root, recursive).groupBy("recording_id").applyInArrow(run, RECORDINGS)
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True, max_episodes: int | None = None, verify: bool = False) -> tuple[DataFrame, DataFrame]:
+def scan(
+    spark: SparkSession, root: str, recursive: bool = True, max_episodes: int | None = None, verify: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(readable recordings, errors), of the first ``max_episodes`` by path."""
     found = recordings(spark, root, recursive, verify)
     if max_episodes is not None:
@@ -388,7 +435,12 @@ def frames(spark: SparkSession, root: str, recursive: bool = True, unified: bool
                 array = Container(r["format"], [(r["name"], r["path"], r["content"])]).array(part)
                 rows, held = [], 0
                 for i, payload in enumerate(array.read(r["first"], r["last"]), r["first"]):
-                    rows.append({"recording_id": r["recording_id"], "frame_idx": i, "ts_s": r["ts"][i - r["first"]], "payload": payload, "shape": list(array.frame_shape), "dtype": str(array.dtype)})
+                    rows.append(
+                        {
+                            "recording_id": r["recording_id"], "frame_idx": i, "ts_s": r["ts"][i - r["first"]],
+                            "payload": payload, "shape": list(array.frame_shape), "dtype": str(array.dtype)
+                        }
+                    )
                     held += len(payload)
                     if held >= _READ:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -406,7 +458,10 @@ def values(frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.frombuffer(p.as_buffer(), np.dtype(d)).astype(np.float64) for p, d in zip(batch.column("payload"), batch.column("dtype").to_pylist(), strict=True)]
+            out = [
+                np.frombuffer(p.as_buffer(), np.dtype(d)).astype(np.float64) for p,
+                d in zip(batch.column("payload"), batch.column("dtype").to_pylist(), strict=True)
+            ]
             yield batch.append_column("values", pa.array(out, pa.list_(pa.float64())))
 
     return frames.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in frames.dtypes) + ", values array<double>")
@@ -442,12 +497,19 @@ class _Sink:
         self.where.create_dir(f"{self.draft}/{name}".rpartition("/")[0], recursive=True)
         return self.where.open_output_stream(f"{self.draft}/{name}")
 
-    def array(self, part: str, shape: tuple[int, ...], dtype: np.dtype, frames: Iterator[bytes], checksum: str | None, more: dict | None = None) -> str:
+    def array(
+        self, part: str, shape: tuple[int, ...], dtype: np.dtype, frames: Iterator[bytes], checksum: str | None,
+        more: dict | None = None
+    ) -> str:
         """Write an array frame by frame; the checksum that is stored is the given one, or else that of what was written."""
         found, n = hashlib.sha256(), 0
         if self.kind == "zarr":
             size = max(1, min(shape[0], CHUNK_FRAMES)) if shape else 1
-            about = {"zarr_format": 2, "shape": list(shape), "chunks": [size, *shape[1:]], "dtype": dtype.str, "compressor": {"id": "blosc", "cname": "zstd", "clevel": 3, "shuffle": 1, "blocksize": 0}, "fill_value": 0, "order": "C", "filters": None}
+            about = {
+                "zarr_format": 2, "shape": list(shape), "chunks": [size, *shape[1:]], "dtype": dtype.str,
+                "compressor": {"id": "blosc", "cname": "zstd", "clevel": 3, "shuffle": 1, "blocksize": 0}, "fill_value": 0,
+                "order": "C", "filters": None
+            }
             held: list[bytes] = []
 
             def chunk() -> None:
@@ -507,10 +569,15 @@ def save(recordings: DataFrame, frames: DataFrame, root: str, container: str = "
     """
     with_unified = unified is not None
     ending = {"directory": ".hapt", "zip": ".hapt.zip", "zarr": ".hapt.zarr"}[container]
-    rows = recordings.select("recording_id", F.lit(-1).cast("long").alias("frame_idx"), F.lit(0).alias("part"), F.to_json(F.struct(*recordings.columns)).cast("binary").alias("payload"))
+    rows = recordings.select(
+        "recording_id", F.lit(-1).cast("long").alias("frame_idx"), F.lit(0).alias("part"),
+        F.to_json(F.struct(*recordings.columns)).cast("binary").alias("payload")
+    )
     for k, part in enumerate((frames, unified)):
         if part is not None:
-            rows = rows.unionByName(part.select("recording_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.lit(k).alias("part"), "payload"))
+            rows = rows.unionByName(
+                part.select("recording_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.lit(k).alias("part"), "payload")
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("recording_id", "frame_idx", "part", "payload")), strict=True))
@@ -538,7 +605,10 @@ def save(recordings: DataFrame, frames: DataFrame, root: str, container: str = "
                     yield first
                     yield from rest
 
-                sink.array("unified", tuple(meta["unified"]["shape"]), np.dtype(meta["unified"].get("dtype", "float32")), all_of(), None, {"transform": unified_to(meta["unified"])})
+                sink.array(
+                    "unified", tuple(meta["unified"]["shape"]), np.dtype(meta["unified"].get("dtype", "float32")), all_of(), None,
+                    {"transform": unified_to(meta["unified"])}
+                )
             sink.texts(manifest_to(meta), labels_to(meta.get("labels") or {}), provenance_to(meta.get("provenance")))
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.path]), pa.array([checksum])], ["recording_id", "path", "checksum"])
@@ -547,13 +617,22 @@ def save(recordings: DataFrame, frames: DataFrame, root: str, container: str = "
     return ordered.mapInArrow(run, "recording_id string, path string, checksum string")
 
 
-def write(path: str, array: np.ndarray, *, sensor: dict, interaction: dict, labels: dict | None = None, modality: str = "dynamic", rate_hz: float = 1.0, timestamps_s: list[float] | None = None, provenance: dict | None = None, unified: tuple[np.ndarray, dict] | None = None, checksum: str | None = None, coordinate_frame: str | None = None, created: str = CREATED) -> None:
+def write(
+    path: str, array: np.ndarray, *, sensor: dict, interaction: dict, labels: dict | None = None, modality: str = "dynamic",
+    rate_hz: float = 1.0, timestamps_s: list[float] | None = None, provenance: dict | None = None,
+    unified: tuple[np.ndarray, dict] | None = None, checksum: str | None = None, coordinate_frame: str | None = None,
+    created: str = CREATED
+) -> None:
     """Save one recording that the driver has, as ``path`` ends: a folder, .zip or .zarr."""
     sink = _Sink(path)
     each = lambda a: (np.ascontiguousarray(x).tobytes() for x in a)
     sink.array("raw", array.shape, array.dtype, each(array), checksum)
     if unified:
         sink.array("unified", unified[0].shape, unified[0].dtype, each(unified[0]), None, {"transform": unified[1]})
-    meta = {"sensor": sensor, "modality": modality, "coordinate_frame": coordinate_frame, "sampling_rate_hz": rate_hz, "n_frames": array.shape[0], "timestamps_s": timestamps_s, "shape": array.shape, "dtype": str(array.dtype), "interaction": interaction, "created": created}
+    meta = {
+        "sensor": sensor, "modality": modality, "coordinate_frame": coordinate_frame, "sampling_rate_hz": rate_hz,
+        "n_frames": array.shape[0], "timestamps_s": timestamps_s, "shape": array.shape, "dtype": str(array.dtype),
+        "interaction": interaction, "created": created
+    }
     sink.texts(manifest_to(meta), labels_to(labels or {}), provenance or provenance_to(None))
     sink.close()

@@ -15,7 +15,10 @@ from framelake.schema import FormatError
 
 # Column names of electrode tables, fixed values.
 ELECTRODES = [f"e{i}" for i in range(1, 20)] + ["pdc", "pac", "tdc", "tac", "time", "timestamp", "t"]
-RATES = {"DIGIT": 60.0, "DIGIT_v2": 60.0, "GelSight": 30.0, "GelSight_Mini": 30.0, "GelSight_Wedge": 30.0, "CoroCapacitive": 30.0, "BioTac": 100.0, "BioTac_SP": 100.0, "TacTip": 30.0}
+RATES = {
+    "DIGIT": 60.0, "DIGIT_v2": 60.0, "GelSight": 30.0, "GelSight_Mini": 30.0, "GelSight_Wedge": 30.0, "CoroCapacitive": 30.0,
+    "BioTac": 100.0, "BioTac_SP": 100.0, "TacTip": 30.0
+}
 
 # File names of each kind of taxel table, fixed values.
 TAXEL_FILES = {
@@ -91,7 +94,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, cells) in file order; a file is read by one task, as its lines are numbered."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    return lines.select("path", "line_no", F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))).alias("cells"))
+    return lines.select(
+        "path", "line_no",
+        F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))).alias("cells")
+    )
 
 
 def _numbers(cells: Column) -> Column:
@@ -101,7 +107,9 @@ def _numbers(cells: Column) -> Column:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("frame_idx", (F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1).cast("long")).select(F.col("path").alias("recording_id"), "frame_idx", "values")
+    return rows.withColumn(
+        "frame_idx", (F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1).cast("long")
+    ).select(F.col("path").alias("recording_id"), "frame_idx", "values")
 
 
 @register("TacTip")
@@ -150,34 +158,65 @@ def taxels(spark: SparkSession, path: str, source: str | None = None) -> DataFra
     csv = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
     if "Path" not in csv.columns:
         kinds = csv.columns
-        numbers = csv.select(F.monotonically_increasing_id().alias("line_no"), *(F.col(f"`{c}`").cast("string").try_cast("double").alias(c) for c in kinds))
-        seen = numbers.agg(*(F.count(c).alias(f"n_{i}") for i, c in enumerate(kinds)), *(F.count_distinct(c).alias(f"d_{i}") for i, c in enumerate(kinds)), F.count(F.lit(1)).alias("n")).first()
+        numbers = csv.select(
+            F.monotonically_increasing_id().alias("line_no"),
+            *(F.col(f"`{c}`").cast("string").try_cast("double").alias(c) for c in kinds)
+        )
+        seen = numbers.agg(
+            *(F.count(c).alias(f"n_{i}") for i, c in enumerate(kinds)),
+            *(F.count_distinct(c).alias(f"d_{i}") for i, c in enumerate(kinds)), F.count(F.lit(1)).alias("n")
+        ).first()
         some = [c for i, c in enumerate(kinds) if seen[f"n_{i}"]]
         vary = [c for i, c in enumerate(kinds) if seen[f"d_{i}"] + (seen[f"n_{i}"] < seen["n"]) > 1 and c in some]
         return _numbered(numbers.select(F.lit(path).alias("path"), "line_no", F.array(*(vary or some)).alias("values")))
     data = [c for c in csv.columns if c != "Path"]
-    rows = csv.where("Path IS NOT NULL").withColumn("line_no", F.monotonically_increasing_id()).select("Path", "line_no", F.array(*(F.col(f"`{c}`").cast("double") for c in data)).alias("v"))
+    rows = (
+        csv.where("Path IS NOT NULL")
+        .withColumn("line_no", F.monotonically_increasing_id())
+        .select("Path", "line_no", F.array(*(F.col(f"`{c}`").cast("double") for c in data)).alias("v"))
+    )
     if len(data) >= 10:  # each line is a frame
-        return rows.select(F.lit(path).alias("recording_id"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("Path", "line_no")) - 1).cast("long").alias("frame_idx"), F.col("v").alias("values"))
+        return rows.select(
+            F.lit(path).alias("recording_id"),
+            (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("Path", "line_no")) - 1).cast("long").alias("frame_idx"),
+            F.col("v").alias("values")
+        )
     grouped = rows.groupBy("Path").agg(F.array_sort(F.collect_list(F.struct("line_no", "v"))).alias("lines"))
     mean = F.transform("lines", lambda e: F.aggregate(e["v"], F.lit(0.0), lambda s, x: s + x) / len(data))
     vector = F.when((F.size("lines") == 1) & F.lit(len(data) > 1), F.element_at("lines", 1)["v"]).otherwise(mean)
     vectors = grouped.select("Path", vector.alias("values"))
     longest = vectors.agg(F.max(F.size("values")).alias("most"))
-    padded = vectors.crossJoin(F.broadcast(longest)).withColumn("values", F.slice(F.concat("values", F.array_repeat(F.lit(0.0), F.col("most"))), F.lit(1), F.col("most")))
-    return padded.select(F.lit(path).alias("recording_id"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("Path")) - 1).cast("long").alias("frame_idx"), "values")
-
-
-def image_folder(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("png", "jpg"), by_kind: bool = False, fit_first: bool = False, by_number: str | None = None) -> DataFrame:
+    padded = vectors.crossJoin(F.broadcast(longest)).withColumn(
+        "values", F.slice(F.concat("values", F.array_repeat(F.lit(0.0), F.col("most"))), F.lit(1), F.col("most"))
+    )
+    return padded.select(
+        F.lit(path).alias("recording_id"),
+        (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("Path")) - 1).cast("long").alias("frame_idx"), "values"
+    )
+
+
+def image_folder(
+    spark: SparkSession, path: str, kinds: tuple[str, ...] = ("png", "jpg"), by_kind: bool = False, fit_first: bool = False,
+    by_number: str | None = None
+) -> DataFrame:
     """Frames of a folder's images by path, kind by kind, or by the number that the pattern ``by_number``
     finds in their names (0 where it finds none); sizes must agree, or are fitted to the first.
 
     PNG is decoded here; other kinds need a decoder that isn't installed.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join([*kinds, *([] if by_kind else [k.upper() for k in kinds])]) + "}").load(path)
+    found = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.{" + ",".join([*kinds, *([] if by_kind else [k.upper() for k in kinds])]) + "}")
+        .load(path)
+    )
     kind = F.array_position(F.array(*map(F.lit, kinds)), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)))
-    order = Window.partitionBy("recording_id").orderBy(*([kind] if by_kind else [F.coalesce(F.regexp_extract(F.regexp_extract("path", r"([^/]*)$", 1), by_number, 1).try_cast("long"), F.lit(0))] if by_number else []), "path")
-    rows = found.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("recording_id"), "path", "content").withColumn("frame_idx", (F.row_number().over(order) - 1).cast("long"))
+    order = Window.partitionBy("recording_id").orderBy(
+        *([kind] if by_kind else [F.coalesce(F.regexp_extract(F.regexp_extract("path", r"([^/]*)$", 1), by_number, 1).try_cast("long"), F.lit(0))] if by_number else []),
+        "path"
+    )
+    rows = found.select(
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("recording_id"), "path", "content"
+    ).withColumn("frame_idx", (F.row_number().over(order) - 1).cast("long"))
 
     def run(key, table):
         table = table.sort_by("frame_idx")
@@ -189,9 +228,18 @@ def image_folder(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("png"
             images = [i if i.shape[:2] == (h, w) else np.stack([resize(i[None, ..., c], h, w)[0] for c in range(i.shape[2])], axis=2) for i in images]
         depth = images[0].shape[2]
         images = [i if i.shape[2] == depth else i[..., :3].mean(axis=2, keepdims=True).astype(np.uint8) if depth == 1 else np.broadcast_to(i[..., :1], (h, w, depth)) for i in images]
-        return pa.table({"recording_id": [key[0].as_py()] * len(images), "frame_idx": table.column("frame_idx"), "ts_s": pa.nulls(len(images), pa.float64()), "payload": pa.array([np.ascontiguousarray(i).tobytes() for i in images], pa.binary()), "shape": pa.array([list(i.shape) for i in images], pa.list_(pa.int64())), "dtype": ["uint8"] * len(images)})
-
-    return rows.groupBy("recording_id").applyInArrow(run, "recording_id string, frame_idx bigint, ts_s double, payload binary, shape array<bigint>, dtype string")
+        return pa.table(
+            {
+                "recording_id": [key[0].as_py()] * len(images), "frame_idx": table.column("frame_idx"),
+                "ts_s": pa.nulls(len(images), pa.float64()),
+                "payload": pa.array([np.ascontiguousarray(i).tobytes() for i in images], pa.binary()),
+                "shape": pa.array([list(i.shape) for i in images], pa.list_(pa.int64())), "dtype": ["uint8"] * len(images)
+            }
+        )
+
+    return rows.groupBy("recording_id").applyInArrow(
+        run, "recording_id string, frame_idx bigint, ts_s double, payload binary, shape array<bigint>, dtype string"
+    )
 
 
 def decode(content: bytes) -> np.ndarray:

@@ -47,7 +47,14 @@ def compare(episodes: DataFrame, first: str, second: str) -> DataFrame:
     text = lambda c: F.to_json(F.col(c)) if dict(episodes.dtypes)[c].startswith(("array", "struct", "map")) else F.col(c).cast("string")
     fields = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("field"), text(c).alias("x")) for i, c in enumerate(names))))
     of = lambda path: F.max(F.when(F.col("path") == path, F.col("f.x")))
-    found = rows.select("path", fields.alias("f")).groupBy("f.i", "f.field").agg(of(first).alias("first"), of(second).alias("second"), F.count_if(F.col("path") == first).alias("a"), F.count_if(F.col("path") == second).alias("b"))
+    found = (
+        rows.select("path", fields.alias("f"))
+        .groupBy("f.i", "f.field")
+        .agg(
+            of(first).alias("first"), of(second).alias("second"), F.count_if(F.col("path") == first).alias("a"),
+            F.count_if(F.col("path") == second).alias("b")
+        )
+    )
     missing = F.raise_error(F.lit("both episodes must be there"))
     there = F.when((F.col("a") == 0) | (F.col("b") == 0), missing.cast("boolean")).otherwise(F.col("first").eqNullSafe(F.col("second")))
     return found.orderBy("i").select("field", "first", "second", there.alias("same"))
@@ -74,13 +81,24 @@ def shown(x: Column, kind: str) -> Column:
     text = x.cast("string")
     if kind in ("float", "double"):
         size = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(x))).cast("int"))
-        plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.round(x * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size)), "0+$", ""), r"\.$", "")
+        plain = F.regexp_replace(
+            F.regexp_replace(F.format_string("%.10f", F.round(x * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size)), "0+$", ""),
+            r"\.$", ""
+        )
         powers = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
-        text = F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf"))).when((size >= -4) & (size < 6), plain).otherwise(powers)
+        text = (
+            F.when(F.isnan(x), F.lit("nan"))
+            .when(F.abs(x) == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+            .when((size >= -4) & (size < 6), plain)
+            .otherwise(powers)
+        )
     return F.when(x.isNull() | (text == ""), F.lit("—")).otherwise(text)
 
 
-def gallery_page(spark: SparkSession, root: str, sensors: list[str] | None = None, modalities: list[str] | None = None, materials: list[str] | None = None, max_episodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+def gallery_page(
+    spark: SparkSession, root: str, sensors: list[str] | None = None, modalities: list[str] | None = None,
+    materials: list[str] | None = None, max_episodes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(gallery rows that pass the filters, errors) of the recordings below a root."""
     found, errors = recordings.scan(spark, root, max_episodes=max_episodes)
     episodes = catalog.summary(found)

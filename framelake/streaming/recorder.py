@@ -51,7 +51,11 @@ def numbered(stream: DataFrame, key: str = "recording_id") -> DataFrame:
         state.update((n, shape, dtype))
 
     schema = f"{key} string, frame_idx bigint, ts_s double, payload binary, shape array<bigint>, dtype string"
-    return stream.select(F.col(key).cast("string").alias(key), "ts_s", "payload", "shape", "dtype").groupBy(key).applyInPandasWithState(number, schema, "n bigint, shape string, dtype string", "append", GroupStateTimeout.NoTimeout)
+    return (
+        stream.select(F.col(key).cast("string").alias(key), "ts_s", "payload", "shape", "dtype")
+        .groupBy(key)
+        .applyInPandasWithState(number, schema, "n bigint, shape string, dtype string", "append", GroupStateTimeout.NoTimeout)
+    )
 
 
 def count_windows(stream: DataFrame, size: int, key: str = "recording_id", value: str = "value", idle_ms: int | None = None) -> DataFrame:
@@ -83,7 +87,14 @@ def count_windows(stream: DataFrame, size: int, key: str = "recording_id", value
             state.setTimeoutDuration(idle_ms)
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(fill, f"{key} {kind}, window bigint, n bigint, sum double", "n bigint, total double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return (
+        stream.select(key, F.col(value).cast("double").alias(value))
+        .groupBy(key)
+        .applyInPandasWithState(
+            fill, f"{key} {kind}, window bigint, n bigint, sum double", "n bigint, total double", "append",
+            GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+        )
+    )
 
 
 def finalize(spark: SparkSession, path: str, with_times: bool = True) -> DataFrame:
@@ -114,4 +125,7 @@ def live(spark: SparkSession, rate_hz: int, shape: list[int], sensor: str = "liv
     byte = lambda k: F.unhex(F.lpad(F.hex(F.pmod(F.col("value") + k, F.lit(256))), 2, "0"))
     line = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.hex(byte(k))), ""))
     payload = F.substring(F.unhex(F.repeat(F.hex(line), -(-size // 256))), 1, size)
-    return ticks.select(F.lit(sensor).alias("recording_id"), (F.col("value") / rate_hz).alias("ts_s"), payload.alias("payload"), F.array(*map(F.lit, shape)).cast("array<bigint>").alias("shape"), F.lit("uint8").alias("dtype"))
+    return ticks.select(
+        F.lit(sensor).alias("recording_id"), (F.col("value") / rate_hz).alias("ts_s"), payload.alias("payload"),
+        F.array(*map(F.lit, shape)).cast("array<bigint>").alias("shape"), F.lit("uint8").alias("dtype")
+    )
