@@ -12,12 +12,15 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+#: A table that took so many seconds may have left large shuffle files.
+LONG_S = 1.0
 
 
 def bounded(spark: SparkSession) -> None:
@@ -48,11 +51,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> Table:
         """Write a table, let go of the shuffle files behind it, and read it back."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        path, schema, began = f"{self.root}/{self.n}", df.schema, time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
         del df
-        self.spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are garbage
-        return Table(self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path), self, path)
+        if time.monotonic() - began > LONG_S:  # shorter ones leave little behind, and wait for the next
+            self.spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are garbage
+        return Table(self.spark.read.schema(schema).parquet(path), self, path)
 
     def drop(self, path: str | None = None) -> None:
         try:
