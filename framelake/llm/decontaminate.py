@@ -93,7 +93,10 @@ def build(items: list[tuple[object, str | None]], n: int = N_WORDS) -> dict[int,
         code = {name: k for k, name in enumerate(names)}
         own = [sorted(code[x] for x in grams[texts[i]]) for i in order.tolist()]
         ends = lambda lengths: np.concatenate(([0], np.cumsum(np.fromiter(lengths, np.int64, len(order)))))
-        out[size] = Grams(hashes[order], b"".join(texts[i] for i in order.tolist()), ends(len(texts[i]) for i in order.tolist()), np.fromiter((k for o in own for k in o), np.int32), ends(map(len, own)), names)
+        out[size] = Grams(
+            hashes[order], b"".join(texts[i] for i in order.tolist()), ends(len(texts[i]) for i in order.tolist()),
+            np.fromiter((k for o in own for k in o), np.int32), ends(map(len, own)), names
+        )
     return out
 
 
@@ -155,11 +158,16 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, max_windows:
     hits, scratch = None, Scratch(docs.sparkSession)
     for block in blocks:  # a block is let go of before the next is made
         b = sc.broadcast(block)
-        part = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(lambda it, b=b: _hits(it, b.value), "doc_id long, text_key long, hit array<int>, items array<string>")
+        part = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+            lambda it, b=b: _hits(it, b.value), "doc_id long, text_key long, hit array<int>, items array<string>"
+        )
         part = scratch.keep(part).df
         b.unpersist()
         hits = part if hits is None else hits.unionByName(part)
-    merged = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = hits.groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
     counted = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_counted, "doc_id long, text_key long, n_words long")
     on = counted["doc_id"].eqNullSafe(merged["doc_id"]) & (counted["text_key"] == merged["text_key"])
     items = F.coalesce(merged["items"], F.array().cast("array<string>"))
@@ -178,7 +186,16 @@ def _report(batches: Iterator[pa.RecordBatch], index: dict[int, Grams]) -> Itera
             n_hit = total[w.first[1:]] - total[w.first[:-1]]
             rows = [_digest(a, b, sorted(items.get(i, ()))) for i, (a, b) in enumerate(zip(w.count.tolist(), n_hit.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())), strict=True))],
+                [
+                    ids.slice(lo, hi - lo).cast(pa.int64()),
+                    *(
+                        pa.array(c, t) for c,
+                        t in zip(
+                            zip(*rows, strict=True),
+                            (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())), strict=True
+                        )
+                    )
+                ],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
 
@@ -192,7 +209,11 @@ def _hits(batches: Iterator[pa.RecordBatch], index: dict[int, Grams]) -> Iterato
             rows = sorted(items)
             take = pa.array([lo + i for i in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take).cast(pa.int64()), keys.take(take), pa.array([np.flatnonzero(hit[w.first[i] : w.first[i + 1]]).tolist() for i in rows], pa.list_(pa.int32())), pa.array([sorted(items[i]) for i in rows], pa.list_(pa.string()))],
+                [
+                    ids.take(take).cast(pa.int64()), keys.take(take),
+                    pa.array([np.flatnonzero(hit[w.first[i] : w.first[i + 1]]).tolist() for i in rows], pa.list_(pa.int32())),
+                    pa.array([sorted(items[i]) for i in rows], pa.list_(pa.string()))
+                ],
                 ["doc_id", "text_key", "hit", "items"],
             )
 
@@ -201,7 +222,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         n = [words(LOWER[d], o, WORD_CHARS).count for _, _, d, o in slices(data, offsets)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())], ["doc_id", "text_key", "n_words"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").cast(pa.int64()), batch.column("text_key"),
+                pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
+            ],
+            ["doc_id", "text_key", "n_words"]
+        )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, max_windows: int = MAX_WINDOWS, drop_share: float = 1.0) -> DataFrame:

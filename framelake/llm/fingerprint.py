@@ -169,7 +169,9 @@ def _range_of(docs: DataFrame, partitions: int) -> tuple[Column, list[int]]:
     known = block * step + passed(F.get(parts, block))
     # rows without a doc_id come last, by descending hash: equal parts of the hashes' range
     width = (1 << 64) // partitions + 1
-    none = -1 - F.floor((F.lit((1 << 63) - 1).cast("decimal(20,0)") - F.xxhash64("text").cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+    none = -1 - F.floor(
+        (F.lit((1 << 63) - 1).cast("decimal(20,0)") - F.xxhash64("text").cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")
+    ).cast("int")
     return F.when(F.col("doc_id").isNotNull(), known).otherwise(none), cuts
 
 
@@ -186,10 +188,16 @@ def beside_next(docs: DataFrame) -> DataFrame:
     part, _ = _range_of(rows.select("doc_id").where("doc_id IS NOT NULL"), partitions)
     bounded(spark)
     rows = rows.withColumn("part", part)
-    heads = rows.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"), "text")).alias("head")).select("part", "head.doc_id", "head.text")
+    heads = (
+        rows.groupBy("part")
+        .agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("h"), "text")).alias("head"))
+        .select("part", "head.doc_id", "head.text")
+    )
     order = Window.orderBy(F.col("part").desc())
     # one row for each range, at most spark.sql.shuffle.partitions + 1
-    before = heads.withColumn("part", F.coalesce(F.lag("part").over(order), F.min("part").over(Window.partitionBy(F.lit(1))))).withColumn("ghost", F.lit(True))
+    before = heads.withColumn(
+        "part", F.coalesce(F.lag("part").over(order), F.min("part").over(Window.partitionBy(F.lit(1))))
+    ).withColumn("ghost", F.lit(True))
     both = rows.withColumn("ghost", F.lit(False)).unionByName(before)
     own = Window.partitionBy("part").orderBy(F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
     return both.withColumn("next_text", F.lead("text").over(own)).where("NOT ghost").select("doc_id", "text", "next_text")

@@ -167,7 +167,11 @@ def held_out() -> Column:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Fit on a bounded sample of the documents that aren't held out: about ``per_language``
     of each of the ``languages`` that have the most."""
-    known = docs.select("doc_id", "text", F.col("lang").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").where(~held_out())
+    known = (
+        docs.select("doc_id", "text", F.col("lang").alias("lang"))
+        .where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
+        .where(~held_out())
+    )
     often = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     counts = {r.lang: r.n for r in often.collect()}
     bounded(docs.sparkSession)
@@ -180,7 +184,13 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
         for batch in batches:
             for lo, hi, data, offsets in slices(*utf8(batch.column("text"))):
                 x = features(data, offsets).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("lang").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("lang").slice(lo, hi - lo),
+                        pa.array([r.tobytes() for r in x], pa.binary())
+                    ],
+                    ["doc_id", "lang", "x"]
+                )
 
     rows = known.where(part).mapInArrow(run, "doc_id long, lang string, x binary").toArrow()
     order = np.lexsort((np.array(rows.column("x").to_pylist(), object).astype("S16"), rows.column("doc_id").to_numpy()))
@@ -205,9 +215,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, data, offsets in slices(*utf8(batch.column("text"))):
                 lang, score = judge(data, offsets, held.value)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(lang.tolist(), pa.string()),
+                        pa.array(score.astype(np.float64))
+                    ],
+                    ["doc_id", "held_out", "lang_pred", "score"]
+                )
+
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(
+        run, "doc_id long, held_out boolean, lang_pred string, score double"
+    )
 
 
 def clean(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:

@@ -66,7 +66,13 @@ def levels(window: int, base: int) -> list[int]:
 def _rows(batch: pa.RecordBatch, lo: int, first: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
     row = np.searchsorted(first, at, "right") - 1
     take = pa.array(lo + row)
-    return pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column("doc_id").take(take), batch.column("key").take(take), pa.array((at - first[row]).astype(np.int32))], _NAMES)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(hashes[at].view(np.int64)), batch.column("doc_id").take(take), batch.column("key").take(take),
+            pa.array((at - first[row]).astype(np.int32))
+        ],
+        _NAMES
+    )
 
 
 def _lowest(batches: Iterator[pa.RecordBatch], length: int, following: int) -> Iterator[pa.RecordBatch]:
@@ -110,7 +116,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> tuple[Da
     document with a smaller doc_id; key is xxhash64 of the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text"))
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text")
+    )
     steps = levels(window, base)
     alive: Table | None = None
     for k, length in enumerate(steps):
@@ -120,11 +128,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> tuple[Da
             following = length if last else steps[1]
             found = rows.mapInArrow(lambda it, n=length, m=following: _lowest(it, n, m), _ROW)
         else:
-            found = rows.join(alive.df, ["doc_id", "key"]).mapInArrow(lambda it, b=steps[k - 1], n=length, f=k == 1, s=k + 1: _longer(it, b, n, f, s), _ROW)
+            found = rows.join(alive.df, ["doc_id", "key"]).mapInArrow(
+                lambda it, b=steps[k - 1], n=length, f=k == 1, s=k + 1: _longer(it, b, n, f, s), _ROW
+            )
             held = scratch.keep(found)
             found = held.df
             alive.drop()
-        repeated = scratch.keep(found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least"))
+        repeated = scratch.keep(
+            found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
+        )
         hit = found.join(repeated.df, "h")
         if last:
             hit = hit.where("doc_id > least")
@@ -172,7 +184,13 @@ def report(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame
                 kept = gather(data, start, end)
                 size = np.concatenate(([0], np.cumsum(end - start + 1)))[w.first - total[w.first]]
                 hashes = [hashlib.sha256(kept[a : max(a, b - 1)]).hexdigest() for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(w.count, pa.int64()), pa.array(np.diff(total[w.first]), pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(w.count, pa.int64()),
+                        pa.array(np.diff(total[w.first]), pa.int64()), pa.array(hashes, pa.string())
+                    ],
+                    ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                )
 
     return _with_repeats(docs.select("doc_id", "text"), window, base).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 

@@ -374,6 +374,9 @@ def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             data, offsets = utf8(batch.column("text"))
             found = [count_tokens(d, o, machine) for _, _, d, o in slices(data, offsets)]
             n = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

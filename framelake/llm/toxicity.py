@@ -111,7 +111,10 @@ class Model:
         rows = len(first) - 1
         if not len(ids):
             return np.full(rows, self.output[-1])
-        _, where, inverse = np.unique(ids[:, 0].astype(np.int64) << 32 | ids[:, 3].astype(np.int64) << 15 | ids[:, 1], return_index=True, return_inverse=True)
+        _, where, inverse = np.unique(
+            ids[:, 0].astype(np.int64) << 32 | ids[:, 3].astype(np.int64) << 15 | ids[:, 1], return_index=True,
+            return_inverse=True
+        )
         own = self._table[ids[where]].sum(axis=1)
         response = _respond(own[inverse], self.bias, first)
         top = np.zeros((rows, response.shape[1]), np.float32)
@@ -137,7 +140,9 @@ def train(texts: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, seed: in
         "embedding": random.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32),
         "filters": random.normal(0, 0.4, (SIZE, _STEPS * FILTERS)).astype(np.float32),
         "bias": np.zeros(len(WIDTHS) * FILTERS, np.float32),
-        "output": np.append(np.abs(random.normal(0, 0.3, len(WIDTHS) * FILTERS)) * np.tile([1, -1], len(WIDTHS) * FILTERS // 2), 0).astype(np.float32),
+        "output": np.append(
+            np.abs(random.normal(0, 0.3, len(WIDTHS) * FILTERS)) * np.tile([1, -1], len(WIDTHS) * FILTERS // 2), 0
+        ).astype(np.float32),
     }
     first_moment, second_moment = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
@@ -153,7 +158,10 @@ def train(texts: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, seed: in
             top, at = _pool(response, first)
             raw = top @ p["output"][:-1] + p["output"][-1]
             error = ((1 / (1 + np.exp(-raw)) - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            grad = {"output": np.append(top.T @ error, error.sum()).astype(np.float32), "filters": np.zeros_like(p["filters"]), "bias": np.zeros_like(p["bias"])}
+            grad = {
+                "output": np.append(top.T @ error, error.sum()).astype(np.float32), "filters": np.zeros_like(p["filters"]),
+                "bias": np.zeros_like(p["bias"])
+            }
             back = error[:, None] * p["output"][:-1]
             row, unit = np.nonzero(at >= 0)
             where, g = at[row, unit], back[row, unit]
@@ -202,7 +210,11 @@ class Fit:
 
 
 def _marked(labels: DataFrame) -> DataFrame:
-    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~langid.held_out()).select(F.col("doc_id").cast("long").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return (
+        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        .where(~langid.held_out())
+        .select(F.col("doc_id").cast("long").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS) -> Fit | None:
@@ -216,11 +228,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS
     known = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("labelled")).where("text IS NOT NULL")
     bounded(docs.sparkSession)
     # of rows that share a doc_id one is learned from, whatever their number; at most 2 * most texts are shuffled
-    known = known.groupBy("labelled", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("labelled").alias("doc_id"), "toxic", F.col("t.text").alias("text"))
+    known = (
+        known.groupBy("labelled", "toxic")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+        .select(F.col("labelled").alias("doc_id"), "toxic", F.col("t.text").alias("text"))
+    )
     known = Scratch(docs.sparkSession).keep(known).df
     # long texts are cut by rows, in the order of the hash, to what the driver holds
     room, own = {0: chars // 2, 1: chars // 2}, []
-    for r in known.select("doc_id", "toxic", F.length("text").alias("chars"), F.xxhash64("doc_id", F.lit(3)).alias("place")).orderBy("place", "doc_id").collect():
+    for r in known.select(
+        "doc_id", "toxic", F.length("text").alias("chars"), F.xxhash64("doc_id", F.lit(3)).alias("place")
+    ).orderBy("place", "doc_id").collect():
         room[r.toxic] -= r.chars
         if room[r.toxic] >= 0:
             own.append((r.doc_id, r.toxic))
@@ -235,7 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS
                 w = words(low, offsets, WORD_CHARS)
                 ids = parts(low, w)
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("toxic"), pa.array([ids[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column("doc_id").cast(pa.int64()), own.column("toxic"),
+                        pa.array([ids[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())
+                    ],
+                    ["doc_id", "toxic", "ids"]
+                )
 
     rows = known.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, ids binary").toArrow()
     if not rows.num_rows:
@@ -279,9 +303,14 @@ def outputs(docs: DataFrame, found: Fit) -> DataFrame:
                 for r in np.flatnonzero(known & np.isin(name, f.ids)).tolist():
                     a, b = w.first[r], w.first[r + 1]
                     fair[r] = f.folds[f.fold[np.searchsorted(f.ids, name[r])]].logits(ids[a:b], np.array([0, b - a]))[0]
-                yield pa.RecordBatch.from_arrays([doc, own.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(raw), pa.array(fair)], ["doc_id", "held_out", "lang", "raw", "fair"])
+                yield pa.RecordBatch.from_arrays(
+                    [doc, own.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(raw), pa.array(fair)],
+                    ["doc_id", "held_out", "lang", "raw", "fair"]
+                )
 
-    return docs.select("doc_id", "text", langid.held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang string, raw double, fair double")
+    return docs.select("doc_id", "text", langid.held_out().alias("held_out")).mapInArrow(
+        run, "doc_id long, held_out boolean, lang string, raw double, fair double"
+    )
 
 
 def calibrate(model: Model, judged: DataFrame, labels: DataFrame) -> None:
@@ -289,7 +318,14 @@ def calibrate(model: Model, judged: DataFrame, labels: DataFrame) -> None:
     marked = _marked(labels).groupBy("labelled").agg(F.sum("toxic").alias("y"), F.count(F.lit(1)).alias("n"))
     place = F.floor(F.greatest(F.least("fair", F.lit(float(_MOST_RAW))), F.lit(-float(_MOST_RAW))) * BINS + 0.5).alias("place")
     # at most 2 * _MOST_RAW * BINS + 1 rows of each language
-    rows = judged.where("NOT held_out").select("doc_id", "lang", place).join(marked, F.col("doc_id") == F.col("labelled")).groupBy("lang", "place").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).toPandas()
+    rows = (
+        judged.where("NOT held_out")
+        .select("doc_id", "lang", place)
+        .join(marked, F.col("doc_id") == F.col("labelled"))
+        .groupBy("lang", "place")
+        .agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+        .toPandas()
+    )
     if not 0 < rows["y"].sum() < rows["n"].sum():
         return
     whole = rows.groupby("place", as_index=False)[["y", "n"]].sum()
@@ -300,7 +336,10 @@ def calibrate(model: Model, judged: DataFrame, labels: DataFrame) -> None:
 
 
 def _blank() -> Model:
-    return Model(np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, _STEPS * FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS + 1, -60, np.float32))
+    return Model(
+        np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, _STEPS * FILTERS), np.float32),
+        np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS + 1, -60, np.float32)
+    )
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
@@ -336,6 +375,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, data, offsets in slices(*utf8(batch.column("text"))):
                 found = held.value.scores(data, offsets)
                 own = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), own.column("held_out"), pa.array(found.astype(np.float64)), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select("doc_id", "text", langid.held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column("doc_id").cast(pa.int64()), own.column("held_out"), pa.array(found.astype(np.float64)),
+                        pa.array((found >= 0.5).astype(np.int32))
+                    ],
+                    ["doc_id", "held_out", "score", "predicted"]
+                )
+
+    return docs.select("doc_id", "text", langid.held_out().alias("held_out")).mapInArrow(
+        run, "doc_id long, held_out boolean, score double, predicted int"
+    )

@@ -73,7 +73,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts."""
     shown = F.when(F.col("html").contains("//"), F.regexp_replace("html", _HIDDEN, " ")).otherwise(F.lit(""))
     links = F.explode(F.array_distinct(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(1))))
-    return pages.where("url IS NOT NULL AND html IS NOT NULL").select(host_of(F.col("url")).alias("src"), links.alias("dst")).select("src", lower(F.col("dst")).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        pages.where("url IS NOT NULL AND html IS NOT NULL")
+        .select(host_of(F.col("url")).alias("src"), links.alias("dst"))
+        .select("src", lower(F.col("dst")).alias("dst"))
+        .where("src <> '' AND dst <> '' AND src <> dst")
+        .groupBy("src", "dst")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
@@ -84,12 +91,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     while True:
         now = ranks.df
         for _ in range(2):
-            flow = edges.join(now.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("weight") * F.col("rank")).alias("rank"))
-            now = flow.unionByName(start.df.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            flow = edges.join(now.withColumnRenamed("host", "src"), ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (damping * F.col("weight") * F.col("rank")).alias("rank")
+            )
+            now = (
+                flow.unionByName(start.df.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank")))
+                .groupBy("kind", "host")
+                .agg(F.sum("rank").alias("rank"))
+            )
         after = scratch.keep(now)
         # ranks grow from the seeds on, so a host that has one keeps it
         was = F.coalesce("was", F.lit(0.0))
-        moved = after.df.join(ranks.df.withColumnRenamed("rank", "was"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("rank") - was)), F.count_if(F.abs(F.col("rank") - was) > SHARE * F.col("rank"))).first()
+        moved = (
+            after.df.join(ranks.df.withColumnRenamed("rank", "was"), ["kind", "host"], "left")
+            .agg(F.sum(F.abs(F.col("rank") - was)), F.count_if(F.abs(F.col("rank") - was) > SHARE * F.col("rank")))
+            .first()
+        )
         ranks.drop()
         ranks = after
         if (moved[0] or 0.0) <= tolerance and not moved[1]:
@@ -105,23 +122,53 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumn("rule", rule).withColumn("by_rule", verdict)
 
-    hosts = urls.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
+    hosts = (
+        urls.where("host <> ''")
+        .groupBy("host")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("by_rule") == "allow").alias("allowed"),
+            F.count_if(F.col("by_rule") == "block").alias("blocked")
+        )
+    )
     hosts = scratch.keep(hosts).df
-    seeds = hosts.select("host", F.when(F.col("allowed") * 2 > F.col("n"), F.lit("trust")).when(F.col("blocked") * 2 > F.col("n"), F.lit("distrust")).alias("kind"), F.lit(1.0).alias("rank")).where("kind IS NOT NULL")
+    seeds = hosts.select(
+        "host",
+        F.when(F.col("allowed") * 2 > F.col("n"), F.lit("trust")).when(F.col("blocked") * 2 > F.col("n"), F.lit("distrust")).alias("kind"),
+        F.lit(1.0).alias("rank")
+    ).where("kind IS NOT NULL")
     links = scratch.keep(host_edges(pages)).df
     out = links.groupBy("src").agg(F.sum("n").alias("whole"))
     back = links.groupBy("dst").agg(F.sum("n").alias("whole"))
-    edges = links.join(out, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("whole")).alias("weight")).unionByName(links.join(back, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("whole")).alias("weight")))
+    edges = (
+        links.join(out, "src")
+        .select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("whole")).alias("weight"))
+        .unionByName(
+            links.join(back, "dst").select(
+                F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"),
+                (F.col("n") / F.col("whole")).alias("weight")
+            )
+        )
+    )
     ranks = propagate(scratch.keep(edges).df, seeds, scratch)
 
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     known = scratch.keep(ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))).df
     # at most HOT hosts have more than that part of all pages: their verdicts go to the pages, whose other hosts are joined
     whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = hosts.where(F.col("n") * HOT > whole).select("host").join(known, "host", "left").select(F.col("host").alias("hot"), F.struct(F.col("trust").alias("t"), F.col("distrust").alias("d")).alias("own"))
+    hot = (
+        hosts.where(F.col("n") * HOT > whole)
+        .select("host")
+        .join(known, "host", "left")
+        .select(F.col("host").alias("hot"), F.struct(F.col("trust").alias("t"), F.col("distrust").alias("d")).alias("own"))
+    )
     joined = urls.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
-    key = F.when(F.col("hot").isNull() & (F.col("host") != ""), F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id", "path").cast("string")))
+    key = F.when(F.col("hot").isNull() & (F.col("host") != ""), F.col("host")).otherwise(
+        F.concat(F.lit("/"), F.xxhash64("page_id", "path").cast("string"))
+    )
     joined = joined.withColumn("key", key).join(known.withColumnRenamed("host", "key"), "key", "left")
     trust, distrust = F.coalesce(F.col("own.t"), "trust", F.lit(0.0)), F.coalesce(F.col("own.d"), "distrust", F.lit(0.0))
     by_host = F.when(distrust > threshold * (trust + distrust), F.lit("block")).otherwise(F.lit("allow"))
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    return joined.select(
+        "page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"),
+        distrust.alias("distrust")
+    )

@@ -61,7 +61,10 @@ def digest(payload: bytes) -> str:
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha: str, length: int, refers_to: int | None, revisit: bool) -> bytes:
     """A WARC record; a revisit has headers alone and tells the payload's length."""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"
+    ]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", url))
     head += [f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {length}"]
@@ -177,7 +180,9 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     scratch = Scratch(pages.sparkSession)
     # pages meet their revisit by page_id, so equal payloads don't gather in a task
     revisits = scratch.keep(seen.join(again, "sha").where("page_id > first").select("page_id", "sha", "first").distinct()).df
-    return scratch.keep(rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "first").mapInArrow(_archives, "name string, content binary, records long")).df
+    return scratch.keep(
+        rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "first").mapInArrow(_archives, "name string, content binary, records long")
+    ).df
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +191,13 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> pa.RecordBatch:
         content = archive(held)
-        return pa.RecordBatch.from_arrays([pa.array([f"pages-{hashlib.sha256(content).hexdigest()[:24]}.warc.zst"]), pa.array([content], pa.binary()), pa.array([len(held)], pa.int64())], ["name", "content", "records"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([f"pages-{hashlib.sha256(content).hexdigest()[:24]}.warc.zst"]), pa.array([content], pa.binary()),
+                pa.array([len(held)], pa.int64())
+            ],
+            ["name", "content", "records"]
+        )
 
     for batch in batches:
         for page_id, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
