@@ -16,13 +16,13 @@ which has at most ``capacity`` pieces.
 
 Defined results: null and empty texts are the end token alone. Repeated rows
 are packed once each. An empty table gives no pieces. Columns other than
-doc_id and text are left out.
+doc_id and text are left out. Which sequence a piece goes to depends on
+spark.sql.shuffle.partitions, as ranks are counted by so many chunks.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -43,8 +43,11 @@ END = 1
 GAP = 2e-4
 _MOST_WORDS = 600_000
 
-#: Words of ASCII and Latin-1 letters, in UTF-8.
-_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: Bytes of ASCII letters, and the second ones of Latin-1 letters in UTF-8, whose first is C3.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SECOND = np.zeros(256, bool)
+_SECOND[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -70,24 +73,25 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def of(self, parts: list[bytes]) -> list[bytes]:
+    def of(self, parts: list[bytes], letters: list[bool]) -> list[bytes]:
+        """Ids of words, of which ``letters`` tells whether they are of letters alone."""
         known = self.known
-        new = [p for p in parts if p not in known]
-        if new:
-            if len(known) > _MOST_WORDS:
-                known.clear()
-                new = parts
+        if len(known) > _MOST_WORDS:
+            known.clear()
+        plain, rest = [], []
+        for p, alone in zip(parts, letters, strict=True):
+            if p not in known:
+                (plain if alone else rest).append(p)
+        if plain:
             # words of letters alone are one piece each, so one text of them all can be told apart by word ends
-            plain = [p for p in new if _LETTERS(p)]
             ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, np.uint32)
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) != len(plain):
-                raise ValueError("a word of letters isn't one piece")
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(plain, ends.tolist(), strict=True):
-                known[p] = raw[at:end]
-                at = end
-            rest = [p for p in new if not _LETTERS(p)]
+            if len(ends) == len(plain):
+                raw, ends = ids.tobytes(), ends.tolist()
+                known.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            else:  # another vocabulary's words aren't single pieces
+                rest += plain
+        if rest:
             for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, np.uint32).tobytes()
         return [known[p] for p in parts]
@@ -102,7 +106,13 @@ class WordIds:
         if len(start):
             _, where, inverse = np.unique(span_hashes(data, start, ends), return_index=True, return_inverse=True)
             raw = data.tobytes()
-            ids = self.of([raw[a:b] for a, b in zip(start[where].tolist(), ends[where].tolist(), strict=True)])
+            letter = _LETTER[data]
+            pair = (data[:-1] == 0xC3) & _SECOND[data[1:]]
+            letter[:-1] |= pair
+            letter[1:] |= pair
+            other = np.concatenate(([0], np.cumsum(~letter)))
+            first, last = start[where], ends[where]
+            ids = self.of([raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], (other[first] == other[last]).tolist())
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat, at = np.frombuffer(b"".join(ids), np.uint32), np.concatenate(([0], np.cumsum(size)))[:-1]
             each = size[inverse]
@@ -137,7 +147,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 length = np.minimum(capacity, size[row] - start)
                 at = bounds[row] + start
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(lo + row)).cast(pa.int64()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[row])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(lo + row)).cast(pa.int64()), pa.array(start), pa.array(length),
+                        pa.array(crc, pa.int64()), pa.array(size[row])
+                    ],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
@@ -259,7 +275,7 @@ class Plan:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece with its sequence and offset there; ids by the vocabulary file at ``path``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(spark)  # which also bounds batches
     cut = scratch.keep(pieces(docs, path, capacity)).df
     grain = capacity // UNITS
     chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -274,7 +290,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("step").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("step", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("step", "chunk").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = cut.withColumn("rank", F.row_number().over(own) - 1).join(firsts, ["step", "chunk"]).withColumn("rank", F.col("rank") + F.col("first")).drop("first", "chunk")
+    ranked = (
+        cut.withColumn("rank", F.row_number().over(own) - 1)
+        .join(firsts, ["step", "chunk"])
+        .withColumn("rank", F.col("rank") + F.col("first"))
+        .drop("first", "chunk")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,5 +304,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             yield out.append_column("sequence_id", pa.array(sequence)).append_column("place", pa.array(place))
 
     order = Window.partitionBy("sequence_id").orderBy(F.col("step").desc(), "place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "step", F.col("rank").cast("long").alias("rank")).mapInArrow(run, f"{_PIECES}, step int, sequence_id long, place long")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"))
+    placed = ranked.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "step", F.col("rank").cast("long").alias("rank")
+    ).mapInArrow(run, f"{_PIECES}, step int, sequence_id long, place long")
+    return placed.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+        F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset")
+    )
