@@ -30,9 +30,13 @@ equal 64-bit shingles of the whole sets. So no link that would join two
 components is lost. Shingles are carried once for each set and compared in
 streams: one set of a pivot stands before its partners, ``PARTNERS`` at most.
 
-`Join.links` lists links that span the components, between the classes'
-representatives; a pair of one component isn't looked at again once it is
-known to be one, so links within components are not all listed.
+Those links span the components. No link leads out of a component, so the rest
+are found inside each: a component of two sets has its one link, and of a larger
+one all sets are held against one another, two blocks of about ``BLOCK`` at a
+time. Where a component has more than ``FEW`` sets and its lists hold far fewer
+pairs than it has, its lists are scanned instead. Both ways find all; `Join.links`
+has every link between classes' representatives, and `Join.counts` each
+document's number of links.
 
 Defined results: null texts, empty ones and those of white space have no
 shingles and link with nothing. A row whose doc_id is null has a null
@@ -71,6 +75,12 @@ _SAMPLE_BITS = 3
 _REACH = 16
 _RUN = 1_000_000
 _LIGHT_MOST = 64
+#: Sets of a component that are held against one another without asking how many pairs its lists hold, and what a pair of a list costs of one such.
+FEW = 512
+LIST_COST = 4
+#: Shingles of a block of a component, about, and columns of the matrix by which common ones are counted.
+_BLOCK_SHINGLES = 1 << 18
+_COLUMNS = 1 << 12
 _FILTER_BITS = 22
 _PAIRS = 1 << 18
 
@@ -290,8 +300,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (sig, i, j), two blocks of a list: pairs (a, b) of different components that may be alike."""
+def _scanned(batches: Iterator[pa.RecordBatch], percent: int, inside: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (sig, i, j), two blocks of a list: pairs (a, b) that may be alike, of different components or ``inside`` one."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         sig, i, j, side, set_id, component, at = (t.column(c).to_numpy() for c in ("sig", "i", "j", "side", "set_id", "component", "at"))
@@ -308,7 +318,8 @@ def _scanned(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             x = np.repeat(np.arange(lo, hi), many[lo:hi])
             y = x + 1 + np.arange(len(x)) - np.repeat(total[lo:hi] - total[lo], many[lo:hi])
             lo = hi
-            keep = (component[x] != component[y]) & ((i[x] == j[x]) | (side[x] != side[y])) & _may(n[x], place[x], n[y], place[y], percent)
+            apart_or_one = (component[x] == component[y]) & (set_id[x] != set_id[y]) if inside else component[x] != component[y]
+            keep = apart_or_one & ((i[x] == j[x]) | (side[x] != side[y])) & _may(n[x], place[x], n[y], place[y], percent)
             x, y = x[keep], y[keep]
             keep = _near_enough(n[x], n[y], apart(maps, maps, x, y), percent)
             out.append(np.stack((set_id[x[keep]], set_id[y[keep]])))
@@ -358,15 +369,73 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         )
 
 
+def _common(found: list[np.ndarray], cut: int) -> np.ndarray:
+    """How many hashes each of the first ``cut`` sets shares with each of the others (where there are none, each with each)."""
+    value = np.concatenate(found)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], np.repeat(np.arange(len(found)), [len(x) for x in found])[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    shared = np.diff(np.append(np.flatnonzero(new), len(value))) > 1  # a hash of one set alone is common to none
+    keep = np.repeat(shared, np.diff(np.append(np.flatnonzero(new), len(value))))
+    owner, number = owner[keep], np.cumsum(new[keep]) - 1
+    rest = 0 if cut == len(found) else cut
+    out = np.zeros((cut, len(found) - rest))
+    for lo in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(number, (lo, lo + _COLUMNS))
+        has = np.zeros((len(found), int(number[b - 1]) + 1 - lo), np.float32)
+        has[owner[a:b], number[a:b] - lo] = 1
+        out += has[:cut] @ has[rest:].T
+    return out.astype(np.int64)
+
+
+def _inside(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (component, i, j, side, set_id), two blocks of a component: all links."""
+    ids: list[int] = []
+    found: list[np.ndarray] = []
+    sides: list[int] = []
+    held = None
+
+    def told() -> pa.RecordBatch:
+        cut = len(sides) - sum(sides)
+        n = np.array([len(x) for x in found])
+        whole = held[1] == held[2]
+        common = _common(found, cut) if whole or 0 < cut < len(found) else np.zeros((0, 0), np.int64)
+        rest = 0 if whole else cut
+        union = n[:cut, None] + n[None, rest:] - common if common.size else common
+        linked = (100 * common >= percent * union) & (np.triu(np.ones(common.shape, bool), 1) if whole else True)
+        x, y = np.nonzero(linked)
+        number, c = np.array(ids), common[x, y]
+        y = y + rest
+        turned = number[x] > number[y]
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (number[x], number[y], n[x], n[y], c)], ["a", "b", "n_a", "n_b", "common"])
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j")), strict=True)
+        for key, side, set_id, raw in zip(keys, batch.column("side").to_pylist(), batch.column("set_id").to_pylist(), batch.column("found"), strict=True):
+            if key != held:
+                if len(ids) > 1:
+                    yield told()
+                ids, found, sides, held = [], [], [], key
+            if not ids or ids[-1] != set_id:  # repeated rows give a set twice
+                ids.append(set_id)
+                sides.append(side)
+                found.append(np.frombuffer(raw.as_buffer(), np.uint64))
+    if len(ids) > 1:
+        yield told()
+
+
 class Join:
     """One run over ``docs``.
 
     ``documents`` has each row's set (doc_id, text_key, n, k1, k2), ``sets`` a row
     for each class (set_id, k1, k2, n, the least doc_id and its text_key),
-    ``links`` the links that span components and ``near`` each linked set's component.
+    ``spanning`` links that span the components, ``near`` each linked set's
+    component, and ``links`` every link (a < b) unless ``every`` is False.
     """
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT) -> None:
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, every: bool = True) -> None:
         if not 50 < percent <= 100:
             raise ValueError("percent must be above 50, up to 100: smaller sets have no 2-subsets in common")
         self.spark, self.percent = docs.sparkSession, percent
@@ -386,15 +455,26 @@ class Join:
         survey.drop()
         met = self._met(order, weight)
         first = self._stars(met.df)
-        links = self._links(first.df)
+        held = [self._held(first.df)]
+        links = self._links(first.df, held[0].df)
+        if not every:
+            held.pop().drop()
         near = components(links.df, self.scratch)
         left = self._left(met.df, first.df, near)
-        met.drop()
         first.drop()
-        more = self._links(left.df)
+        if not every:
+            met.drop()
+        held.append(self._held(left.df))
+        more = self._links(left.df, held[-1].df)
         left.drop()
-        self.links = links.df.unionByName(more.df)
-        self.near = components(self.links, self.scratch) if more.df.take(1) else near
+        if not every:
+            held.pop().drop()
+        self.spanning = links.df.unionByName(more.df)
+        self.near = components(self.spanning, self.scratch) if more.df.take(1) else near
+        if every:
+            self.links = self._every(met.df, held[0].df.unionByName(held[1].df))
+            for table in (met, *held):
+                table.drop()
 
     def _most_frequent(self, counts: DataFrame, most: int) -> Broadcast:
         """The most frequent of counted shingles, by level; bounded, as it orders shingles alone."""
@@ -474,7 +554,14 @@ class Join:
         mixed = kept.df.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k"))
         # of two sets one is the pivot, so that pair is decided
         mixed = mixed.where("x <> y AND k > 2").select("sig", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-        rows = kept.df.join(mixed, "sig").distinct().join(self.sets.select("set_id", "sketch"), "set_id")
+        known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        out = self.scratch.keep(self._scan(kept.df.join(mixed, "sig").distinct()).join(known, ["a", "b"], "left_anti"))
+        kept.drop()
+        return out
+
+    def _scan(self, lists: DataFrame, inside: bool = False) -> DataFrame:
+        """Pairs (a, b) that meet in a list of (sig, blocks, set_id, component, at)."""
+        rows = lists.join(self.sets.select("set_id", "sketch"), "set_id")
         own = F.pmod(F.xxhash64("set_id"), "blocks").cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select(
@@ -485,15 +572,52 @@ class Join:
         scanned = (
             rows.repartition("sig", "i", "j")
             .sortWithinPartitions("sig", "i", "j")
-            .mapInArrow(lambda it: _scanned(it, percent), "a long, b long")
+            .mapInArrow(lambda it: _scanned(it, percent, inside), "a long, b long")
         )
-        known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        out = self.scratch.keep(scanned.distinct().join(known, ["a", "b"], "left_anti"))
-        kept.drop()
+        return scanned.distinct()
+
+    def _every(self, met: DataFrame, held: DataFrame) -> DataFrame:
+        """All links. Each is inside a component: one of two sets has a link that is known, in others all are looked for."""
+        near, pairs = self.near.withColumnRenamed("node", "set_id"), F.col("k") * (F.col("k") - 1)
+        found = near.join(self.sets.select("set_id", "n"), "set_id").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+        found = self.scratch.keep(found.where("k > 2"))
+        whole, more, done = found.df, None, []
+        large = found.df.where(F.col("k") > FEW)
+        if large.take(1):
+            lists = self.scratch.keep(met.select("sig", "set_id", "at").join(near.join(large.select("component"), "component"), "set_id").distinct())
+            done.append(lists)
+            often = lists.df.groupBy("component", "sig").agg(F.count(F.lit(1)).alias("k"))
+            listed = often.groupBy("component").agg(F.sum(pairs).alias("listed")).join(large, "component")
+            sparse = self.scratch.keep(listed.where(F.col("listed") * LIST_COST < pairs).select("component"))
+            done.append(sparse)
+            if sparse.df.take(1):
+                whole = whole.join(sparse.df, "component", "left_anti")
+                lists = lists.df.join(sparse.df, "component", "left_semi")
+                shared = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+                shared = shared.select("sig", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+                some = self.scratch.keep(self._scan(lists.join(shared, "sig"), inside=True))
+                more = self._links(some.df, held)
+                done.append(some)
+        blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / _BLOCK_SHINGLES)).cast("int")
+        whole = near.join(whole.select("component", blocks.alias("blocks")), "component")
+        own, percent = F.pmod(F.xxhash64("set_id"), "blocks").cast("int"), self.percent
+        rows = whole.join(held, "set_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select(
+            "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id", "found"
+        ).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "set_id")
+        inside = self.scratch.keep(rows.mapInArrow(lambda it: _inside(it, percent), _LINK))
+        turned, swap = F.col("a") > F.col("b"), {"a": "b", "b": "a", "n_a": "n_b", "n_b": "n_a"}
+        rest = self.spanning.unionByName(more.df) if more else self.spanning
+        rest = rest.join(whole.select(F.col("set_id").alias("a")), "a", "left_anti")
+        rest = rest.select(*(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in swap.items()), "common").distinct()
+        out = inside.df.unionByName(self.scratch.keep(rest).df)
+        for table in (found, *done):
+            table.drop()
         return out
 
-    def _links(self, pairs: DataFrame) -> Table:
-        """The pairs that are alike, by the shingles of both sets."""
+    def _held(self, pairs: DataFrame) -> Table:
+        """(set_id, found): the shingles of the sets of pairs."""
         some = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         wanted = some.join(self.sets.select("set_id", "doc_id", "text_key", "k1", "k2"), "set_id")
 
@@ -514,22 +638,23 @@ class Join:
                     )
 
         texts = self.rows.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"])
-        held = self.scratch.keep(texts.select("set_id", "k1", "k2", "text").mapInArrow(own, "set_id long, found binary"))
+        return self.scratch.keep(texts.select("set_id", "k1", "k2", "text").mapInArrow(own, "set_id long, found binary"))
+
+    def _links(self, pairs: DataFrame, held: DataFrame) -> Table:
+        """The pairs that are alike, by the shingles of both sets."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
         right = (
             pairs.join(parts, "a")
             .select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-            .join(held.df.withColumnRenamed("set_id", "b"), "b")
+            .join(held.withColumnRenamed("set_id", "b"), "b")
         )
         left = parts.select(
             "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        ).join(held.df.withColumnRenamed("set_id", "a"), "a")
+        ).join(held.withColumnRenamed("set_id", "a"), "a")
         both = left.select("a", F.lit(None).cast("long").alias("b"), "part", "found").unionByName(right.select("a", "b", "part", "found"))
         percent = self.percent
         both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        out = self.scratch.keep(both.select("a", "b", "found").mapInArrow(lambda it: _compared(it, percent), _LINK).distinct())
-        held.drop()
-        return out
+        return self.scratch.keep(both.select("a", "b", "found").mapInArrow(lambda it: _compared(it, percent), _LINK).distinct())
 
     def members(self) -> DataFrame:
         """(k1, k2, component, component_id) of every set; component_id is the component's least doc_id."""
@@ -546,6 +671,17 @@ class Join:
             "doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id")
         )
 
+    def counts(self) -> DataFrame:
+        """(doc_id, text_key, n_links) of every document: with how many others it links. Rows without a doc_id are left out."""
+        rows = self.documents.where("doc_id IS NOT NULL").select("doc_id", "text_key", "n", "k1", "k2").distinct()
+        copies = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.count(F.lit(1)).alias("copies"))
+        copies = copies.join(self.sets.select("set_id", "k1", "k2", "n"), ["k1", "k2", "n"])
+        ends = self.links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
+        linked = ends.join(copies.select(F.col("set_id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
+        many = copies.join(linked.withColumnRenamed("a", "set_id"), "set_id", "left")
+        many = many.select("k1", "k2", "n", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        return rows.join(many, ["k1", "k2", "n"], "left").select("doc_id", "text_key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each document's number of shingles and its component."""
@@ -559,7 +695,7 @@ def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeat a doc_id and its text one stays; rows that share a doc_id alone are
     told apart by their texts.
     """
-    run = Join(docs, percent)
+    run = Join(docs, percent, every=False)
     rows = run.documents.where("doc_id IS NOT NULL")
     linked = rows.where("n > 0").join(run.members(), ["k1", "k2"]).groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
     keep = linked.select("d.doc_id", "d.text_key").unionByName(rows.where("n = 0").select("doc_id", "text_key").distinct())

@@ -13,7 +13,7 @@ from framelake.llm import _sketch, decontaminate, fingerprint, jaccard, langid,
 from framelake.llm._arrow import LOWER, WORD_CHARS, mix, utf8, words
 from framelake.llm._scratch import Scratch
 
-from test_text_operators import component_ids, without_repeats
+from test_text_operators import component_ids, shingle_set, without_repeats
 
 M64 = (1 << 64) - 1
 DIR = "/root/testdata/sf0.001"
@@ -292,6 +292,36 @@ def test_rows_that_share_an_id(spark):
     assert got == sorted([(1, a), (1, b), (4, ""), (4, ""), (0, a)])
 
 
+@pytest.mark.parametrize("few, cost, block", [(512, 4, 7), (2, 0, 3)])  # blocks of components, and lists
+def test_every_link(spark, monkeypatch, few, cost, block):
+    for name, v in (("FEW", few), ("LIST_COST", cost), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, v)
+    rng, vocabulary = random.Random(11), [f"v{i}" for i in range(90)]
+    texts = ["", "  ", "a", "A", "b c"]
+    for size in (8, 30, 60, 200):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for k in range(15):  # drifts, so that not all of a group are alike
+            texts.append(" ".join(base))
+            base[rng.randrange(size)] = f"w{size}x{k}"
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    texts += [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(40)]  # all alike
+    rows = list(enumerate(texts + texts[10:12] + [texts[20].upper()]))
+    rows += [rows[20], (21, "B C")]  # a row again, and a doc_id with another text
+    docs = sorted(set(rows))
+    sets = [shingle_set(t) for _, t in docs]
+    alike = [[bool(x) and 100 * len(x & y) >= 75 * len(x | y) for y in sets] for x in sets]
+    run = jaccard.Join(spark.createDataFrame([*rows, (None, "a")], "doc_id long, text string").repartition(3))
+    names = {r.set_id: r.doc_id for r in run.sets.collect()}
+    got = sorted(tuple(sorted((names[r.a], names[r.b]))) + (r.common,) for r in run.links.collect())
+    least = {}
+    for k, s in enumerate(sets):
+        least.setdefault(frozenset(s), k)
+    true = sorted((docs[i][0], docs[j][0], len(sets[i] & sets[j])) for i in least.values() for j in least.values() if docs[i][0] < docs[j][0] and alike[i][j])
+    assert got == true and run.spanning.count() < len(true)
+    counts = sorted((r.doc_id, r.n_links) for r in run.counts().collect())
+    assert counts == sorted((docs[i][0], sum(alike[i]) - alike[i][i]) for i in range(len(docs)))
+
+
 # substrings, benchmarks, pipeline ---------------------------------------------------------------------------
 
 
