@@ -1,6 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each an operator of its own.
 
-language: documents of no language go. near_duplicates: one document of each
+language: documents of no language go, and so do those whose language is
+likelier wrong than right (a score below ``LEAST_SCORE``: other languages than
+those learned, strings that are no prose). near_duplicates: one document of each
 group of near copies stays, the one of the least doc_id. substrings: words of
 windows that also start in a document with a smaller doc_id go, and a document
 with none left. decontaminate: spans that occur in ``benchmark`` go, and a
@@ -20,8 +22,12 @@ from framelake.llm import decontaminate, jaccard, langid, packing, substrings
 from framelake.llm._scratch import Scratch
 
 
+#: Score of a language, 0 to 1, that a document must reach.
+LEAST_SCORE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.clean(docs, langid.learn(docs))
+    return langid.clean(docs, langid.learn(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def test_stages_against_brute_force(spark):
         assert zlib.crc32(tokens[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
 
 
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["日本語のテキストです。これは長い文です。", "Это русский текст о погоде и о природе", "xqzv kjhw zzzz qqqq wwwx vvkq", "0x7f3a 9b2c deadbeef c0ffee", " 12 "]
+    more = spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(odd)], docs.schema)
+    got = sorted(r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), DIR).collect())
+    assert got == sorted(r.doc_id for r in docs.collect())
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
