@@ -34,9 +34,10 @@ Those links span the components. No link leads out of a component, so the rest
 are found inside each: a component of two sets has its one link, and of a larger
 one all sets are held against one another, two blocks of about ``BLOCK`` at a
 time. Where a component has more than ``FEW`` sets and its lists hold far fewer
-pairs than it has, its lists are scanned instead. Both ways find all; `Join.links`
-has every link between classes' representatives, and `Join.counts` each
-document's number of links.
+pairs than it has, its lists are scanned instead. Both ways find all. Links are
+counted as they are found, with copies, so that a group of near copies makes no
+row for each pair: `Join.counts` has each document's number of links. A run that
+is asked for them also lists every link between classes' representatives.
 
 Defined results: null texts, empty ones and those of white space have no
 shingles and link with nothing. A row whose doc_id is null has a null
@@ -389,9 +390,10 @@ def _common(found: list[np.ndarray], cut: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _inside(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (component, i, j, side, set_id), two blocks of a component: all links."""
+def _inside(batches: Iterator[pa.RecordBatch], percent: int, listed: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (component, i, j, side, set_id), two blocks of a component: all links, or (set_id, linked), how many documents each set meets there."""
     ids: list[int] = []
+    copies: list[int] = []
     found: list[np.ndarray] = []
     sides: list[int] = []
     held = None
@@ -407,19 +409,26 @@ def _inside(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         x, y = np.nonzero(linked)
         number, c = np.array(ids), common[x, y]
         y = y + rest
+        if not listed:
+            weight = np.array(copies)
+            total = np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))
+            some = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(number[some], pa.int64()), pa.array(total[some].astype(np.int64))], ["set_id", "linked"])
         turned = number[x] > number[y]
         x, y = np.where(turned, y, x), np.where(turned, x, y)
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (number[x], number[y], n[x], n[y], c)], ["a", "b", "n_a", "n_b", "common"])
 
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j")), strict=True)
-        for key, side, set_id, raw in zip(keys, batch.column("side").to_pylist(), batch.column("set_id").to_pylist(), batch.column("found"), strict=True):
+        own = (batch.column(c).to_pylist() for c in ("side", "set_id", "copies"))
+        for key, side, set_id, many, raw in zip(keys, *own, batch.column("found"), strict=True):
             if key != held:
                 if len(ids) > 1:
                     yield told()
-                ids, found, sides, held = [], [], [], key
+                ids, copies, found, sides, held = [], [], [], [], key
             if not ids or ids[-1] != set_id:  # repeated rows give a set twice
                 ids.append(set_id)
+                copies.append(many)
                 sides.append(side)
                 found.append(np.frombuffer(raw.as_buffer(), np.uint64))
     if len(ids) > 1:
@@ -432,10 +441,11 @@ class Join:
     ``documents`` has each row's set (doc_id, text_key, n, k1, k2), ``sets`` a row
     for each class (set_id, k1, k2, n, the least doc_id and its text_key),
     ``spanning`` links that span the components, ``near`` each linked set's
-    component, and ``links`` every link (a < b) unless ``every`` is False.
+    component. Unless ``every`` is False, ``linked`` has how many documents of other
+    classes each such set links with; ``links`` every link (a < b), if ``listed``.
     """
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, every: bool = True) -> None:
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, every: bool = True, listed: bool = False) -> None:
         if not 50 < percent <= 100:
             raise ValueError("percent must be above 50, up to 100: smaller sets have no 2-subsets in common")
         self.spark, self.percent = docs.sparkSession, percent
@@ -472,7 +482,7 @@ class Join:
         self.spanning = links.df.unionByName(more.df)
         self.near = components(self.spanning, self.scratch) if more.df.take(1) else near
         if every:
-            self.links = self._every(met.df, held[0].df.unionByName(held[1].df))
+            self._every(met.df, held[0].df.unionByName(held[1].df), listed)
             for table in (met, *held):
                 table.drop()
 
@@ -576,7 +586,13 @@ class Join:
         )
         return scanned.distinct()
 
-    def _every(self, met: DataFrame, held: DataFrame) -> DataFrame:
+    def _copies(self) -> DataFrame:
+        """(set_id, copies): how many documents have each set."""
+        rows = self.documents.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "text_key", "n", "k1", "k2").distinct()
+        many = rows.groupBy("k1", "k2", "n").agg(F.count(F.lit(1)).alias("copies"))
+        return many.join(self.sets.select("set_id", "k1", "k2", "n"), ["k1", "k2", "n"]).select("set_id", "copies")
+
+    def _every(self, met: DataFrame, held: DataFrame, listed: bool) -> None:
         """All links. Each is inside a component: one of two sets has a link that is known, in others all are looked for."""
         near, pairs = self.near.withColumnRenamed("node", "set_id"), F.col("k") * (F.col("k") - 1)
         found = near.join(self.sets.select("set_id", "n"), "set_id").groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
@@ -601,20 +617,25 @@ class Join:
         blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / _BLOCK_SHINGLES)).cast("int")
         whole = near.join(whole.select("component", blocks.alias("blocks")), "component")
         own, percent = F.pmod(F.xxhash64("set_id"), "blocks").cast("int"), self.percent
-        rows = whole.join(held, "set_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        copies = self.scratch.keep(self._copies().join(near.select("set_id"), "set_id")).df
+        rows = whole.join(held, "set_id").join(copies, "set_id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select(
             "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id", "found"
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "set_id", "copies", "found"
         ).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "set_id")
-        inside = self.scratch.keep(rows.mapInArrow(lambda it: _inside(it, percent), _LINK))
+        counted = self.scratch.keep(rows.mapInArrow(lambda it: _inside(it, percent, False), "set_id long, linked long"))
         turned, swap = F.col("a") > F.col("b"), {"a": "b", "b": "a", "n_a": "n_b", "n_b": "n_a"}
         rest = self.spanning.unionByName(more.df) if more else self.spanning
         rest = rest.join(whole.select(F.col("set_id").alias("a")), "a", "left_anti")
         rest = rest.select(*(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in swap.items()), "common").distinct()
-        out = inside.df.unionByName(self.scratch.keep(rest).df)
-        for table in (found, *done):
+        rest = self.scratch.keep(rest).df
+        ends = rest.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(rest.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+        ends = ends.join(copies.withColumnRenamed("set_id", "other"), "other").select("set_id", F.col("copies").alias("linked"))
+        self.linked = self.scratch.keep(counted.df.unionByName(ends).groupBy("set_id").agg(F.sum("linked").alias("linked"))).df
+        if listed:
+            self.links = self.scratch.keep(rows.mapInArrow(lambda it: _inside(it, percent, True), _LINK)).df.unionByName(rest)
+        for table in (found, counted, *done):
             table.drop()
-        return out
 
     def _held(self, pairs: DataFrame) -> Table:
         """(set_id, found): the shingles of the sets of pairs."""
@@ -674,11 +695,7 @@ class Join:
     def counts(self) -> DataFrame:
         """(doc_id, text_key, n_links) of every document: with how many others it links. Rows without a doc_id are left out."""
         rows = self.documents.where("doc_id IS NOT NULL").select("doc_id", "text_key", "n", "k1", "k2").distinct()
-        copies = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.count(F.lit(1)).alias("copies"))
-        copies = copies.join(self.sets.select("set_id", "k1", "k2", "n"), ["k1", "k2", "n"])
-        ends = self.links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
-        linked = ends.join(copies.select(F.col("set_id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
-        many = copies.join(linked.withColumnRenamed("a", "set_id"), "set_id", "left")
+        many = self.sets.join(self._copies(), "set_id").join(self.linked, "set_id", "left")
         many = many.select("k1", "k2", "n", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
         return rows.join(many, ["k1", "k2", "n"], "left").select("doc_id", "text_key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -310,7 +310,7 @@ def test_every_link(spark, monkeypatch, few, cost, block):
     docs = sorted(set(rows))
     sets = [shingle_set(t) for _, t in docs]
     alike = [[bool(x) and 100 * len(x & y) >= 75 * len(x | y) for y in sets] for x in sets]
-    run = jaccard.Join(spark.createDataFrame([*rows, (None, "a")], "doc_id long, text string").repartition(3))
+    run = jaccard.Join(spark.createDataFrame([*rows, (None, "a")], "doc_id long, text string").repartition(3), listed=True)
     names = {r.set_id: r.doc_id for r in run.sets.collect()}
     got = sorted(tuple(sorted((names[r.a], names[r.b]))) + (r.common,) for r in run.links.collect())
     least = {}
