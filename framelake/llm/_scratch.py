@@ -10,11 +10,13 @@ an executor's own disk.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -40,6 +42,36 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _array(spark: SparkSession, kind: str, items: list):
+    gateway = spark.sparkContext._gateway
+    out = gateway.new_array(getattr(gateway.jvm.java.lang, kind), len(items))
+    for i, x in enumerate(items):
+        out[i] = x
+    return out
+
+
+def trim(spark: SparkSession) -> str:
+    """Have the driver's C library return what the JVM's compiler and other native code have freed; what the JVM says of it.
+
+    A driver of many small stages sees that grow by hundreds of MB otherwise. Only
+    JVMs on Linux can; of others it is an error.
+    """
+    jvm = spark.sparkContext._jvm
+    kind, beans = jvm.java.lang.Class.forName, jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    takes = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    # by the public interface, as the server's own class isn't open to callers
+    invoke = kind("javax.management.MBeanServer").getMethod("invoke", _array(spark, "Class", [kind(x) for x in takes]))
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    return invoke.invoke(beans, _array(spark, "Object", [name, "systemTrimNativeHeap", None, None]))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver give back what it no longer uses: heap, the shuffle files of plans that are garbage, freed native memory."""
+    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        trim(spark)
+
+
 class Scratch:
     """Tables of one run; those still there are removed as the driver ends."""
 
@@ -55,7 +87,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         del df
         if time.monotonic() - began > LONG_S:  # shorter ones leave little behind, and wait for the next
-            self.spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are garbage
+            release(self.spark)
         return Table(self.spark.read.schema(schema).parquet(path), self, path)
 
     def drop(self, path: str | None = None) -> None:
